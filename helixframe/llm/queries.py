@@ -6,25 +6,52 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import contamination
 from .exact import exact_groups
+from .near import near_components
+from .packing import pack
 from .runtime import documents
 from .shard import assign_shards
 
 N_SHARDS = 24
+#: For DuckDB: A-Z in lower case, and words of letters, digits and all that isn't ASCII.
+UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+ALNUM_WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(documents(spark, sf_dir), N_SHARDS, "bytes")
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(documents(spark, sf_dir), width=2)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir), tokenizer_path())
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
+        "op3_minhash": op3_minhash,
         "op5_exact_dedup": op5_exact_dedup,
+        "op8_decontamination": op8_decontamination,
+        "op9_packing": op9_packing,
     }
 
 
@@ -35,4 +62,18 @@ def oracle_sql() -> dict[str, str]:
             g AS (SELECT *, min(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
                          row_number() OVER (PARTITION BY text_sha256, doc_id) AS again FROM d)
             SELECT doc_id, keep_id, group_size, (again = 1 AND doc_id = keep_id) AS kept, text_sha256 FROM g""",
+        "op8_decontamination": rf"""
+            WITH dw AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), {UPPER}), {ALNUM_WORDS}) AS w FROM documents),
+            iw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {UPPER}), {ALNUM_WORDS}) AS w FROM benchmark),
+            win AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[s : s + least(len(w), 10) - 1], ' ') AS g
+                    FROM (SELECT *, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS s FROM iw WHERE len(w) > 0)),
+            sizes AS (SELECT DISTINCT n FROM win),
+            dg AS (SELECT row, s, n, array_to_string(w[s : s + n - 1], ' ') AS g
+                   FROM (SELECT row, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM dw, sizes WHERE len(w) >= n)),
+            hit AS (SELECT row, s, dg.n, item_id FROM dg JOIN win USING (n, g)),
+            words AS (SELECT row, count(DISTINCT p) AS n_hit FROM (SELECT row, unnest(range(s, s + n)) AS p FROM hit) GROUP BY row),
+            items AS (SELECT row, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT row, CAST(item_id AS VARCHAR) AS i FROM hit) GROUP BY row)
+            SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+                   sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+            FROM dw LEFT JOIN words USING (row) LEFT JOIN items USING (row)""",
     }
