@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .graph import components
 from .runtime import cut, ship, text_or_empty, written
@@ -54,6 +55,12 @@ def full_sets(width: int):
     return scan
 
 
+def listed(batches):
+    for b in batches:
+        own = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column("members")]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in own], pa.int32()), pa.array(own, pa.list_(pa.int64()))], names=["doc_id", "n", "members"])
+
+
 def agreeing(batches):
     """Pairs whose signatures agree in AGREE slots or more."""
     for b in batches:
@@ -83,13 +90,36 @@ def verified(pairs: DataFrame, digests: DataFrame, docs: DataFrame, width: int,
     near = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").mapInArrow(agreeing, "a long, b long").distinct()
     near = cut(near)
     ids = cut(near.select("a").union(near.select("b")).distinct().toDF("doc_id"))
-    few = ids.count() <= BROADCAST_IDS
-    chosen = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    members = written(chosen.mapInArrow(full_sets(width), "doc_id long, members binary"))
+    members = written(selected(docs, ids).mapInArrow(full_sets(width), "doc_id long, members binary"))
     sets = near.join(members.toDF("a", "members_a"), "a").join(members.toDF("b", "members_b"), "b")
     return cut(sets.mapInArrow(linked(per, of), "a long, b long").toDF("u", "v").distinct())
 
 
+def selected(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is in ids, which are cut already."""
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+
+
+def prefix_pairs(left: DataFrame, docs: DataFrame, width: int, per: int, of: int) -> DataFrame:
+    """Pairs (a, b) of different components in left (doc_id, component) that may be linked; every link is among them.
+
+    Shingles are ordered by how few of these documents have them. Linked sets share a shingle so early in both that
+    enough is left behind it for the overlap a link needs; pairs are joined on shingles of those prefixes, under that
+    bound on positions and sizes. A document whose rare shingles are its own alone meets nothing.
+    """
+    sets = selected(docs, left.select("doc_id").distinct()).mapInArrow(full_sets(width), "doc_id long, members binary").mapInArrow(listed, "doc_id long, n int, members array<long>")
+    rows = written(left.join(sets, "doc_id").dropDuplicates(["doc_id", "members"]).withColumn("set", F.monotonically_increasing_id()))
+    rows = rows.select("doc_id", "component", "n", "set", F.explode("members").alias("shingle"))
+    ranked = rows.join(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")), "shingle")
+    ranked = ranked.withColumn("at", F.row_number().over(Window.partitionBy("set").orderBy("often", "shingle")) - 1)
+    prefix = cut(ranked.filter((F.col("often") > 1) & (F.col("at") <= F.col("n") - F.ceil(F.col("n") * per / of))).select("doc_id", "component", "n", "shingle", "at"))
+    x, y = prefix.alias("x"), prefix.alias("y")
+    enough = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) * (of + per) >= (F.col("x.n") + F.col("y.n")) * per
+    on = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.doc_id") > F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")) & enough
+    return x.join(y, on).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+
+
 def near_components(docs: DataFrame, width: int = 5, per: int = 80, of: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: groups of documents whose shingle sets overlap.
 
@@ -98,10 +128,11 @@ def near_components(docs: DataFrame, width: int = 5, per: int = 80, of: int = 10
     of * |intersection| >= per * |union|. component_id is the smallest doc_id that links reach, kept says it is the own.
 
     Equal sets are joined by their hash first, so copies take part once. Each band of a signature puts the others into
-    buckets. In a bucket all are compared with its smallest id alone. What this leaves in different groups within a
-    bucket is compared in pairs, except inside the largest group there: pairs of one group can't change the outcome.
-    So no link between two groups is missed among the pairs that share a bucket, which a pair at the threshold does with
-    a chance above 1 - 1e-7, and a large group of near copies costs one pair a member.
+    buckets; a pair at the threshold shares one with a chance above 1 - 1e-7. In a bucket all are compared with one
+    member, that of most weight in all its buckets, as the middle of a group of near copies has. Documents of buckets
+    that this leaves in different groups are compared across groups, where an exact filter (prefix_pairs) can't exclude a
+    link: pairs within a group can't change the outcome. So no link between groups is missed among documents that share
+    buckets, and a large group of near copies costs one pair a member.
 
     Null text is empty. A null doc_id is linked with nothing: its component is null, it is kept. Rows that repeat an id
     count as one document, and each comes back. Other columns are not read. Empty input gives an empty result.
@@ -115,20 +146,19 @@ def near_components(docs: DataFrame, width: int = 5, per: int = 80, of: int = 10
     copies = cut(own.select("doc_id", "h1", "h2").join(classes, ["h1", "h2"]).filter("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
     reps = own.select("doc_id", "n_shingles", "keys").join(copies.select(F.col("u").alias("doc_id")), "doc_id", "left_anti")
     rows = reps.select("doc_id", "n_shingles", F.explode("keys").alias("key"))
-    buckets = rows.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).filter("pivot <> last").drop("last")
-    members = cut(rows.join(buckets, "key").distinct())
-    to_pivot = cut(members.filter("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct())
+    buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    members = cut(rows.join(buckets.filter("first <> last").select("key", "size"), "key").distinct())
+    weight = members.groupBy("doc_id").agg(F.sum("size").alias("weight"))
+    pivots = members.join(weight, "doc_id").groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("minus"))).alias("p")).select("key", (-F.col("p.minus")).alias("pivot"))
+    to_pivot = members.join(pivots, "key").filter("doc_id <> pivot").select(F.greatest("doc_id", "pivot").alias("a"), F.least("doc_id", "pivot").alias("b")).distinct()
+    to_pivot = cut(to_pivot)
     links = copies.union(verified(to_pivot, digests, docs, width, per, of))
     groups = cut(components(links))
 
     placed = members.join(groups, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = placed.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("largest"), F.count(F.lit(1)).alias("n"))
-    placed = cut(placed.join(mixed.filter("n > 1").drop("n"), "key").drop("pivot"))
-    x = placed.filter("component <> largest").select("key", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"))
-    y = placed.select("key", F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"), "largest")
-    sizes = F.least("na", "nb") * of >= F.greatest("na", "nb") * per
-    rest = x.join(y, "key").filter((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("largest")) | (F.col("a") < F.col("b"))) & sizes)
-    rest = rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(to_pivot, ["a", "b"], "left_anti")
+    mixed = placed.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).filter("c <> d").select("key")
+    left = cut(placed.join(mixed, "key", "left_semi").select("doc_id", "component").distinct())
+    rest = prefix_pairs(left, docs, width, per, of).join(to_pivot, ["a", "b"], "left_anti")
     more = verified(cut(rest), digests, docs, width, per, of)
     groups = components(groups.filter("doc_id <> component").toDF("u", "v").union(more))
 
