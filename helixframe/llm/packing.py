@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from .ranges import LEAST, sampled_splitters, with_range
 from .runtime import ship, text_or_empty, written
-from .textkernel import SPACED, U, mix, pieces, words
-from .tokens import token_ids
+from .textkernel import U, binaries, mix, pieces
+from .tokens import PIECE_BYTES, token_ids
 
 LENGTH = 2048
 END = 1
@@ -26,7 +26,7 @@ RANGE_TOKENS, MOST_RANGES = 1 << 20, 20_000
 
 
 def projected(hashes: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
-    """Each text's vector of hashed words, projected at random to DIMS: the mean over its words of a fixed random point."""
+    """Each text's vector of hashed words and marks, projected at random to DIMS: the mean over them of a fixed random point."""
     counts = np.maximum(np.bincount(doc, minlength=n_docs), 1)
     out = np.empty((n_docs, DIMS))
     for d in range(DIMS):
@@ -61,26 +61,20 @@ def hilbert_keys(points: np.ndarray) -> np.ndarray:
     return key
 
 
-def curve_keys(texts: pa.Array) -> np.ndarray:
-    out = []
-    for p in pieces(texts):
-        w = words(p, SPACED)
-        at = np.clip(projected(w.hashes, w.doc, len(p)) / SPREAD, -1, 1)
-        out.append(hilbert_keys(np.floor((at + 1) / 2 * (2**BITS - 1) + 0.5)))
-    return np.concatenate(out) if out else np.empty(0, np.int64)
+def curve_keys(hashes: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
+    at = np.clip(projected(hashes, doc, n_docs) / SPREAD, -1, 1)
+    return hilbert_keys(np.floor((at + 1) / 2 * (2**BITS - 1) + 0.5))
 
 
 def tokenised(definition: str, end: int):
     def scan(batches):
-        ids = token_ids(definition)
-        tail = np.asarray([end], ids.kind).tobytes()
+        tokenizer = token_ids(definition)
         for b in batches:
-            for first in range(0, b.num_rows, 256):
-                part = b.slice(first, 256)
-                texts = part.column("text")
-                own = [ids(t) + tail for t in texts.to_pylist()]
-                n = np.array([len(x) // ids.kind.itemsize for x in own], np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("k"), pa.array(curve_keys(texts)), pa.array(n), pa.array(own, pa.binary())], names=["doc_id", "k", "key", "n", "ids"])
+            for p in pieces(b.column("text"), PIECE_BYTES, lower=False):
+                ids, counts, hashes, doc = tokenizer.piece(p)
+                ids, n = np.insert(ids, np.cumsum(counts), end), counts + 1
+                columns = [*(b.column(c).slice(p.first, len(p)) for c in ("doc_id", "k")), pa.array(curve_keys(hashes, doc, len(p))), pa.array(n), binaries(ids, n)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "k", "key", "n", "ids"])
 
     return scan
 

@@ -84,6 +84,20 @@ def pieces(texts: pa.Array, size: int = PIECE, lower: bool = True) -> Iterator[P
         at = end
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each span, the same wherever it stands: differences of one running sum."""
+    up, down = powers(len(data))
+    total = np.zeros(len(data) + 1, U)
+    np.cumsum(VALUE[data] * up, out=total[1:])
+    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U) * GOLDEN)
+
+
+def gathered(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The items of all spans, one span after another."""
+    out = np.cumsum(sizes)
+    return data[np.repeat(starts - (out - sizes), sizes) + np.arange(out[-1] if len(out) else 0)]
+
+
 def words(piece: Piece, inside: np.ndarray) -> Words:
     """The words of each text and a 64-bit hash of each, the same wherever it stands."""
     data, offsets, n = piece.data, piece.offsets, len(piece.data)
@@ -100,11 +114,7 @@ def words(piece: Piece, inside: np.ndarray) -> Words:
     starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
     doc = np.searchsorted(offsets, starts, "right") - 1
     counts = np.bincount(doc, minlength=len(piece))
-    up, down = powers(n)
-    total = np.zeros(n + 1, U)
-    np.cumsum(VALUE[data] * up, out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U) * GOLDEN)
-    return Words(starts, ends, doc, counts, np.concatenate([[0], np.cumsum(counts)]), hashes)
+    return Words(starts, ends, doc, counts, np.concatenate([[0], np.cumsum(counts)]), span_hashes(data, starts, ends))
 
 
 def shingles(w: Words, width: int) -> tuple[np.ndarray, np.ndarray]:

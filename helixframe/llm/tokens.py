@@ -3,24 +3,32 @@
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
+import pyarrow as pa
 
-#: Pieces that a worker remembers; beyond it the memory starts anew (about 150 MB).
-REMEMBERED = 500_000
-#: Texts of these characters only are cut into pieces here as the tokenizer cuts them: letters of ASCII and Latin-1
-#: (which normalisation to NFC leaves alone), digits, white space, and ASCII marks but the apostrophe.
-PLAIN = re.compile("[\t-\r !-&(-~À-ÖØ-öø-ÿ]*")
-PIECES = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9\t-\r ß-öø-ÿ]+")
-SPACES = re.compile("[\t-\r ]+")
+from .textkernel import Piece, U, gathered, pieces, span_hashes
+
+#: Pieces that a worker remembers; beyond it the memory starts anew (under 200 MB).
+REMEMBERED = 1_500_000
+PIECE_BYTES = 2 << 20
+#: Kinds of bytes in plain text: white space, letters of ASCII and Latin-1, digits, marks but the apostrophe.
+SPACE, LETTER, DIGIT, MARK, OTHER = range(5)
+KIND = np.full(256, OTHER, np.uint8)
+KIND[[0x20, *range(0x09, 0x0E)]] = SPACE
+KIND[0x21:0x7F] = MARK
+KIND[0x27] = OTHER
+KIND[ord("0") : ord("9") + 1] = DIGIT
+KIND[ord("a") : ord("z") + 1] = KIND[ord("A") : ord("Z") + 1] = LETTER
+KIND[0xC3] = KIND[0x80:0xC0] = LETTER
 
 
 class TokenIds:
     """Ids of texts by a tokenizer that lower-cases, drops white space and cuts runs of letters, single digits and runs of marks.
 
-    Such a tokenizer gives a text the ids of its pieces one after another, so each distinct piece is encoded once. Text
-    with other characters is encoded by its words between white space. Ids come as bytes, little-endian, of kind.
+    Such a tokenizer gives a text the ids of those pieces one after another, and ends each with a token that ends a word.
+    So in plain text (ASCII without apostrophe or control characters, and the letters of Latin-1, which normalisation to
+    NFC leaves alone) each distinct piece is encoded once, by its hash; any other text is encoded as it is.
     """
 
     def __init__(self, definition: str) -> None:
@@ -29,27 +37,98 @@ class TokenIds:
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
-
-    def learn(self, parts: list[str]) -> None:
-        new = list({x for x in parts if x not in self.known})
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(set(parts))
-        for at in range(0, len(new), 4096):
-            own = new[at : at + 4096]
-            for x, e in zip(own, self.tokenizer.encode_batch(own, add_special_tokens=False), strict=True):
-                self.known[x] = np.asarray(e.ids, self.kind).tobytes()
-
-    def __call__(self, text: str) -> bytes:
-        plain = PLAIN.fullmatch(text)
-        parts = PIECES.findall(text.lower()) if plain else [x for x in SPACES.split(text) if x]
-        try:
-            return b"".join([self.known[x] for x in parts])
-        except KeyError:
-            self.learn(parts)
-            return b"".join([self.known[x] for x in parts])
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        size = self.tokenizer.get_vocab_size()
+        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.ends = np.zeros(size, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[int, int] = {}
+        self.pool = np.empty(1 << 16, self.kind)
+        self.starts, self.sizes = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        self.used = 0
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
+
+    def learn(self, hashes: list[int], data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+        """Encode new pieces in one text, with blanks between, and cut its ids where words end."""
+        letters = gathered(data, starts, sizes)
+        ids = self.whole(np.insert(letters, np.cumsum(sizes)[:-1], 0x20).tobytes().decode("utf-8"))
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(hashes):
+            raise ValueError("this tokenizer doesn't cut text into the pieces that are assumed")
+        first, n = len(self.place), len(hashes)
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
+        while first + n > len(self.starts):
+            self.starts, self.sizes = (np.concatenate([x, np.empty_like(x)]) for x in (self.starts, self.sizes))
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.starts[first : first + n] = self.used + np.concatenate([[0], ends[:-1]])
+        self.sizes[first : first + n] = np.diff(ends, prepend=0)
+        self.used += len(ids)
+        self.place.update(zip(hashes, range(first, first + n), strict=True))
+
+    def spans(self, p: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Which texts are plain; lower-case bytes; starts and ends of pieces."""
+        data, offsets, n = p.data.copy(), p.offsets, len(p.data)
+        before = np.zeros(n, np.uint8)
+        before[1:] = data[:-1]
+        kind = KIND[data]
+        follows = (data >= 0x80) & (data < 0xC0)
+        bad = (kind == OTHER) | (follows != (before == 0xC3)) | (follows & ((data == 0x97) | (data == 0xB7)))
+        upper = ((data >= 65) & (data <= 90)) | (follows & (data <= 0x9E))
+        data[upper] += 32
+        total = np.zeros(n + 1, np.int64)
+        np.cumsum(bad, out=total[1:])
+        plain = total[offsets[1:]] == total[offsets[:-1]]
+        edge = np.zeros(n + 1, bool)
+        edge[offsets] = True
+        new = edge[:n] | (kind == DIGIT)
+        new[1:] |= kind[1:] != kind[:-1]
+        at = np.flatnonzero(new)
+        ends = np.append(at[1:], n)
+        keep = kind[at] != SPACE
+        return plain, data, at[keep], ends[keep]
+
+    def piece(self, p: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all texts of a piece of a column, how many each has, and the hash and text of each span."""
+        none = np.empty(0, np.int64)
+        if not len(p.data):
+            return np.empty(0, self.kind), np.zeros(len(p), np.int64), np.empty(0, U), none
+        plain, data, starts, ends = self.spans(p)
+        hashes = span_hashes(data, starts, ends)
+        doc = np.searchsorted(p.offsets, starts, "right") - 1
+        use = plain[doc]
+        if not use.all():
+            starts, ends = starts[use], ends[use]
+        distinct, first, back = np.unique(hashes[use], return_index=True, return_inverse=True)
+        keys = distinct.tolist()
+        if len(self.place) + len(keys) > REMEMBERED:
+            self.forget()
+        found = np.fromiter(map(self.place.get, keys, [-1] * len(keys)), np.int64, len(keys))
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            at = first[new]
+            self.learn([keys[i] for i in new.tolist()], data, starts[at], (ends - starts)[at])
+            found[new] = np.arange(len(self.place) - len(new), len(self.place))
+        entry = found[back]
+        sizes = self.sizes[entry]
+        ids = gathered(self.pool, self.starts[entry], sizes)
+        counts = np.bincount(doc[use], weights=sizes, minlength=len(p)).astype(np.int64)
+        if not plain.all():
+            bounds, parts = np.concatenate([[0], np.cumsum(counts)]), []
+            for i in range(len(p)):
+                own = ids[bounds[i] : bounds[i + 1]] if plain[i] else self.whole(p.data[p.offsets[i] : p.offsets[i + 1]].tobytes().decode("utf-8", "replace"))
+                counts[i] = len(own)
+                parts.append(own)
+            ids = np.concatenate(parts)
+        return ids, counts, hashes, doc
+
+    def __call__(self, text: str) -> list[int]:
+        return np.concatenate([self.piece(p)[0] for p in pieces(pa.array([text]), PIECE_BYTES, lower=False)]).tolist()
 
 
 _loaded: dict[int, TokenIds] = {}

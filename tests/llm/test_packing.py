@@ -26,7 +26,7 @@ def test_ids_are_the_librarys():
     pool = "abcXYZ '’.,!*-_09éÀßñ\t\n ́İΣς日🙂&"
     texts = [x or "" for x in TEXTS] + ["".join(r.choice(pool) for _ in range(r.randrange(1, 60))) for _ in range(500)]
     for x in texts:
-        assert np.frombuffer(own(x), own.kind).tolist() == t.encode(x, add_special_tokens=False).ids, x
+        assert own(x) == t.encode(x, add_special_tokens=False).ids, x
 
 
 def test_pieces_cover_every_id_once_and_sequences_have_no_padding(spark):
