@@ -5,13 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .decontaminate import contamination
 from .exact import exact_groups
+from .lines import duplicate_lines
 from .near import near_components
 from .packing import pack
-from .runtime import documents
+from .pages import main_text
+from .pitman_yor import language_scores
+from .runtime import documents, id_bucket
+from .secrets import secret_spans
 from .shard import assign_shards
+from .toxicity import THRESHOLD, toxicity, train
 
 N_SHARDS = 24
 #: For DuckDB: A-Z in lower case, and words of letters, digits and all that isn't ASCII.
@@ -23,14 +29,32 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(documents(spark, sf_dir), N_SHARDS, "bytes")
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(documents(spark, sf_dir), width=2)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicate_lines(documents(spark, sf_dir))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    scores = toxicity(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return scores.select("doc_id", (id_bucket("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans(documents(spark, sf_dir)).drop("found")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -39,6 +63,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer_path())
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_scores(documents(spark, sf_dir))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -46,13 +74,8 @@ def tokenizer_path() -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op1_sharding": op1_sharding,
-        "op3_minhash": op3_minhash,
-        "op5_exact_dedup": op5_exact_dedup,
-        "op8_decontamination": op8_decontamination,
-        "op9_packing": op9_packing,
-    }
+    found = (op1_sharding, op2_html_extraction, op3_minhash, op4_line_dedup, op5_exact_dedup, op6_toxicity, op7_secret_scan, op8_decontamination, op9_packing, op10_lm_scoring)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
