@@ -15,7 +15,7 @@ from .packing import pack
 from .pages import main_text
 from .pitman_yor import language_scores
 from .runtime import documents, id_bucket
-from .secrets import secret_spans
+from .secrets import ALPHABET, BASE, CANDIDATE, LEAST_RANDOM, secret_spans, trained
 from .shard import assign_shards
 from .toxicity import THRESHOLD, toxicity, train
 
@@ -99,4 +99,45 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
                    sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
             FROM dw LEFT JOIN words USING (row) LEFT JOIN items USING (row)""",
+        "op7_secret_scan": secrets_sql(),
+        "op4_line_dedup": r"""
+            WITH l AS (SELECT doc_id, i - 1 AS line_no, p[i] AS line FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents)) WHERE trim(p[i]) <> ''),
+            f AS (SELECT line, length(line) AS n, min({'d': doc_id, 'l': line_no}) AS own, row_number() OVER () AS k FROM l GROUP BY line),
+            v AS (SELECT k, own, n, i, hash(left(line, i - 1) || chr(0) || substr(line, i + 1)) AS put, hash(left(line, i - 1) || substr(line, i + 1)) AS cut FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM f)),
+            e AS (SELECT a.k, b.own FROM v a JOIN (SELECT put, n, i, min(own) AS own FROM v GROUP BY ALL) b USING (put, n, i)
+                  UNION ALL SELECT a.k, b.own FROM (SELECT k, n, own, hash(line) AS h FROM f) a JOIN (SELECT cut, n, min(own) AS own FROM v GROUP BY ALL) b ON b.cut = a.h AND b.n = a.n + 1
+                  UNION ALL SELECT a.k, b.own FROM v a JOIN (SELECT n, own, hash(line) AS h FROM f) b ON a.cut = b.h AND b.n = a.n - 1),
+            g AS (SELECT f.line, f.own, least(f.own, coalesce(m.own, f.own)) AS first FROM f LEFT JOIN (SELECT k, min(own) AS own FROM e GROUP BY k) m USING (k))
+            SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(length(line) AS INTEGER) AS n_chars, first.d AS first_doc_id, CAST(first.l AS INTEGER) AS first_line_no,
+                   CASE WHEN first < own THEN 'near' WHEN doc_id = first.d AND line_no = first.l THEN NULL ELSE 'exact' END AS match,
+                   doc_id = first.d AND line_no = first.l AS kept
+            FROM l JOIN g USING (line)""",
     }
+
+
+def secrets_sql() -> str:
+    """The spans in DuckDB: pieces between matches give the places; the table of the two chains is written out."""
+    model = trained()
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    parts = []
+    for kind, (pattern, group, least) in enumerate([*((p, 2 if name == "assign" else 0, n) for name, p, n in BASE), (CANDIDATE, 0, LEAST_RANDOM)]):
+        parts.append(
+            f"""SELECT row, {kind} AS kind, b + list_sum(list_transform(p[1:i], lambda x: length(x))) AS start, ms[i] AS m
+            FROM (SELECT *, coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS b
+                  FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT row, regexp_extract_all(t, {quoted(pattern)}, 0) AS ms, regexp_extract_all(t, {quoted(pattern)}, {group}) AS gs, string_split_regex(t, {quoted(pattern)}) AS p FROM d)))
+            WHERE length(gs[i]) >= {least}"""
+        )
+    n = len(ALPHABET) + 1
+    table = ",".join(f"{x:.6f}" for row in model.log_odds for x in row)
+    listed = lambda c: f"coalesce(string_agg(k || ':' || start || ':' || stop, ',' ORDER BY start, kind) FILTER ({c}), '')"
+    return f"""
+        WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents),
+        model AS (SELECT [{table}]::DOUBLE[] AS odds),
+        s AS (SELECT row, kind, CAST(start AS BIGINT) AS start, CAST(start + length(m) AS BIGINT) AS stop, m FROM ({' UNION ALL '.join(parts)})),
+        free AS (SELECT * FROM s r WHERE kind = {len(BASE)} AND NOT EXISTS (SELECT 1 FROM s b WHERE b.row = r.row AND b.kind < {len(BASE)} AND b.start < r.stop AND r.start < b.stop)),
+        placed AS (SELECT *, list_transform(string_split(m, ''), lambda x: strpos('{ALPHABET}', x)) AS a FROM free),
+        added AS (SELECT placed.* EXCLUDE (a) FROM placed, model WHERE list_sum(list_transform(range(1, len(a) + 1), lambda i: odds[(CASE WHEN i = 1 THEN 0 ELSE a[i - 1] END) * {n} + a[i] + 1])) / len(a) > {model.threshold}),
+        named AS (SELECT *, ['assign', 'access', 'hex', 'random'][kind + 1] AS k FROM (SELECT * FROM s WHERE kind < {len(BASE)} UNION ALL SELECT * FROM added)),
+        g AS (SELECT row, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, {listed(f'kind < {len(BASE)}')} AS base, {listed('true')} AS spans FROM named GROUP BY row)
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM d LEFT JOIN g USING (row)"""

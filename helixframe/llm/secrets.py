@@ -25,10 +25,10 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Labelled samples of each class that the models are trained on, and half as many to set the threshold.
 SAMPLES, SEED = 20_000, 77
 #: Part of the ordinary samples set aside that may score above the threshold.
-FALSE_RATE = 1e-3
+FALSE_RATE = 2e-4
 #: Common parts of identifiers and of words.
 PARTS = "get set is has to from with new old user account name value key list map index count size max min total data file path line page text word table row column node tree graph edge item order price date time start end first last next config option default request response handler service client server session cache buffer queue stack thread process task event error message code status state type class method function module package test result".split()
-SYLLABLES = "the and ing ion tion ent er re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur ung sch ein der heit keit lich eau que oui ment eux ais tre cion mente ado ez os as rr ll ya bo ga".split()
+SYLLABLES = "pf tz ver zu be ge auf st stl schen chen lichs the and ing ion tion ent er re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur ung sch ein der heit keit lich eau que oui ment eux ais tre cion mente ado ez os as rr ll ya bo ga".split()
 
 
 @dataclass(frozen=True)
