@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from .runtime import cut, ship
 
 
+#: Links up to this number (16 bytes each) are joined by one task; more take rounds.
+ONE_TASK = 1_000_000
+
+
 def union_find(batches):
     """Links of one partition, put as stars: each node with the smallest of those that it is joined to here."""
     parent: dict[int, int] = {}
@@ -34,13 +38,17 @@ def union_find(batches):
 def components(links: DataFrame) -> DataFrame:
     """links (u long, v long) to (doc_id, component): for each id in a link, the smallest id it can reach.
 
-    Union-find joins what lies in one partition; then rounds of large-star and small-star join the rest, with minima
-    taken before the exchange, until nothing changes. The driver sees two numbers a round. A null id makes no link.
+    Union-find joins what lies in one partition. If no more than ONE_TASK links are left, one task joins them all; else
+    rounds of large-star and small-star do, with minima taken before the exchange, until nothing changes. The driver
+    sees two numbers a round. A null id makes no link.
     """
     ship(links.sparkSession)
     schema = "u long, v long"
     now = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v and u is not null and v is not null")
-    now = cut(now.mapInArrow(union_find, schema).distinct())
+    now = cut(now.mapInArrow(union_find, schema))
+    if now.count() <= ONE_TASK:
+        now = cut(now.coalesce(1).mapInArrow(union_find, schema))
+        return now.select(F.col("u").alias("doc_id"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
     mark = None
     while True:
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -73,6 +73,29 @@ def test_nulls_empty_texts_repeated_rows_and_long_chains(spark):
     assert near_components(spark.createDataFrame([], SCHEMA), 2).count() == 0
 
 
+def test_components_in_rounds(spark, monkeypatch):
+    from helixframe.llm import graph
+
+    monkeypatch.setattr(graph, "ONE_TASK", 0)
+    r = random.Random(4)
+    nodes = list(range(400))
+    r.shuffle(nodes)
+    chain = [(nodes[i], nodes[i + 1]) for i in range(300) if i % 100 != 99 or i == 299]
+    links = chain + [(900, x) for x in range(901, 960)] + [(5000, 5000), (None, 3)]
+    r.shuffle(links)
+    got = dict(map(tuple, graph.components(spark.createDataFrame(links, "u long, v long").repartition(7)).collect()))
+    want = {}
+    for k in range(3):
+        part = nodes[k * 100 : (k + 1) * 100]
+        want |= dict.fromkeys(part, min(part))
+    want |= dict.fromkeys(range(900, 960), 900)
+    last = nodes[300]  # the third chain ends with it
+    want[last] = min(min(nodes[200:300]), last)
+    if want[last] == last:
+        want |= dict.fromkeys(nodes[200:300], last)
+    assert got == want
+
+
 def test_signature_agreement_estimates_jaccard():
     m, errors = 128, []
     for seed in range(40):
