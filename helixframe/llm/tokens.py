@@ -9,9 +9,11 @@ import pyarrow as pa
 
 from .textkernel import Piece, U, gathered, pieces, span_hashes
 
-#: Pieces that a worker remembers; beyond it the memory starts anew (under 200 MB).
-REMEMBERED = 1_500_000
-PIECE_BYTES = 2 << 20
+#: Pieces that a worker remembers, about 40 bytes each; beyond it the memory starts anew.
+REMEMBERED = 1_000_000
+PIECE_BYTES = 1 << 20
+#: New pieces encoded in one text.
+AT_ONCE = 8192
 #: Kinds of bytes in plain text: white space, letters of ASCII and Latin-1, digits, marks but the apostrophe.
 SPACE, LETTER, DIGIT, MARK, OTHER = range(5)
 KIND = np.full(256, OTHER, np.uint8)
@@ -45,31 +47,35 @@ class TokenIds:
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[int, int] = {}
-        self.pool = np.empty(1 << 16, self.kind)
-        self.starts, self.sizes = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
-        self.used = 0
+        """Hashes in ascending order, where each has its ids in the pool, and how many."""
+        self.hashes, self.starts, self.sizes = np.empty(0, U), np.empty(0, np.int32), np.empty(0, np.int32)
+        self.pool, self.used = np.empty(1 << 16, self.kind), 0
 
     def whole(self, text: str) -> np.ndarray:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
 
-    def learn(self, hashes: list[int], data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
-        """Encode new pieces in one text, with blanks between, and cut its ids where words end."""
-        letters = gathered(data, starts, sizes)
-        ids = self.whole(np.insert(letters, np.cumsum(sizes)[:-1], 0x20).tobytes().decode("utf-8"))
+    def learn(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+        """Encode new pieces, in ascending order of their hashes, many in a text with blanks between, and cut its ids where words end."""
+        parts = []
+        for i in range(0, len(hashes), AT_ONCE):
+            letters, own = gathered(data, starts[i : i + AT_ONCE], sizes[i : i + AT_ONCE]), sizes[i : i + AT_ONCE]
+            parts.append(self.whole(np.insert(letters, np.cumsum(own)[:-1], 0x20).tobytes().decode("utf-8")))
+        ids = np.concatenate(parts)
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != len(hashes):
             raise ValueError("this tokenizer doesn't cut text into the pieces that are assumed")
-        first, n = len(self.place), len(hashes)
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
-        while first + n > len(self.starts):
-            self.starts, self.sizes = (np.concatenate([x, np.empty_like(x)]) for x in (self.starts, self.sizes))
         self.pool[self.used : self.used + len(ids)] = ids
-        self.starts[first : first + n] = self.used + np.concatenate([[0], ends[:-1]])
-        self.sizes[first : first + n] = np.diff(ends, prepend=0)
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.starts = np.insert(self.starts, at, self.used + np.concatenate([[0], ends[:-1]]))
+        self.sizes = np.insert(self.sizes, at, np.diff(ends, prepend=0))
         self.used += len(ids)
-        self.place.update(zip(hashes, range(first, first + n), strict=True))
+
+    def known(self, hashes: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
+        return self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
 
     def spans(self, p: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Which texts are plain; lower-case bytes; starts and ends of pieces."""
@@ -105,17 +111,14 @@ class TokenIds:
         if not use.all():
             starts, ends = starts[use], ends[use]
         distinct, first, back = np.unique(hashes[use], return_index=True, return_inverse=True)
-        keys = distinct.tolist()
-        if len(self.place) + len(keys) > REMEMBERED:
+        if len(self.hashes) + len(distinct) > REMEMBERED:
             self.forget()
-        found = np.fromiter(map(self.place.get, keys, [-1] * len(keys)), np.int64, len(keys))
-        new = np.flatnonzero(found < 0)
+        new = np.flatnonzero(~self.known(distinct))
         if len(new):
             at = first[new]
-            self.learn([keys[i] for i in new.tolist()], data, starts[at], (ends - starts)[at])
-            found[new] = np.arange(len(self.place) - len(new), len(self.place))
-        entry = found[back]
-        sizes = self.sizes[entry]
+            self.learn(distinct[new], data, starts[at], (ends - starts)[at])
+        entry = np.searchsorted(self.hashes, distinct)[back]
+        sizes = self.sizes[entry].astype(np.int64)
         ids = gathered(self.pool, self.starts[entry], sizes)
         counts = np.bincount(doc[use], weights=sizes, minlength=len(p)).astype(np.int64)
         if not plain.all():
