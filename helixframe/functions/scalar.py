@@ -76,7 +76,8 @@ def fisher_interval(r: Column, n: Column) -> tuple[Column, Column]:
 
 def shown(value: Column) -> Column:
     """Four significant digits, or NA."""
-    return F.coalesce(F.format_string("%.4g", F.nanvl(value.cast("double"), F.lit(None).cast("double"))), F.lit("NA"))
+    known = F.nanvl(value.cast("double"), F.lit(None).cast("double"))
+    return F.when(known.isNull(), "NA").otherwise(F.format_string("%.4g", known))
 
 
 def _representation(text: Column) -> Column:
