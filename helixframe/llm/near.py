@@ -17,6 +17,8 @@ BANDS, ROWS = 32, 4
 #: Slots, of BANDS * ROWS, that must agree before two full sets are compared. At the threshold of 0.8 the count has a
 #: mean of 102 and a standard deviation under 4.6, so a link is lost here with a chance under 1e-6.
 AGREE = 79
+#: Bytes of text signed at a time: of each shingle in them all ranks are held.
+SIGNED_BYTES = 1 << 18
 #: Candidate ids up to this number (8 bytes each) are broadcast to select texts; more are joined by an exchange.
 BROADCAST_IDS = 1_000_000
 
@@ -24,7 +26,7 @@ BROADCAST_IDS = 1_000_000
 def set_digests(width: int):
     def scan(batches):
         for b in batches:
-            for p in pieces(b.column("text")):
+            for p in pieces(b.column("text"), SIGNED_BYTES):
                 elements, counts = distinct(*shingles(words(p, SPACED), width), len(p))
                 sig = signatures(elements, counts, BANDS * ROWS)
                 at = np.concatenate([[0], np.cumsum(counts)])

@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: White space of the contracts: blank and 0x09 to 0x0D.
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -43,8 +44,14 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give executors this package, so that functions of its modules can be found there by name."""
+    """Give executors this package, so that functions of its modules can be found there by name; and keep batches of texts small.
+
+    A batch of rows lies in the JVM and in a Python worker at once, and texts have some KB each. The setting is changed
+    only where the session has the default.
+    """
     sc = spark.sparkContext
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, "1000")
     if getattr(sc, "_corpus_code", False):
         return
     top = Path(__file__).resolve().parents[1]

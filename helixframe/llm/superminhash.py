@@ -42,7 +42,7 @@ def signatures(elements: np.ndarray, counts: np.ndarray, m: int) -> np.ndarray:
         elements, owner = elements[stay], owner[stay]
         if ranks is None:
             pick = pick[stay]
-            ranks = np.tile(np.arange(m, dtype=np.uint16), (len(elements), 1))
+            ranks = np.tile(np.arange(m, dtype=np.uint8 if m <= 256 else np.uint16), (len(elements), 1))
             ranks[np.arange(len(elements)), pick] = 0
         else:
             ranks = ranks[stay]
