@@ -262,9 +262,9 @@ def a5(spark, d):
     return draws.join(observed, "gene_id").groupBy("gene_id").agg(F.round(ranks.empirical_p("draw", "observed"), R).alias("empirical_p"))
 
 
-@query("a6_percentile_interval", with_views("null_draws", " SELECT gene_id, round(quantile_cont(draw, 0.025), 2) AS low, round(quantile_cont(draw, 0.975), 2) AS high FROM null_draws GROUP BY 1"))
+@query("a6_percentile_interval", with_views("null_draws", " SELECT gene_id, round(quantile_cont(draw, 0.02537), 3) AS low, round(quantile_cont(draw, 0.97463), 3) AS high FROM null_draws GROUP BY 1"))
 def a6(spark, d):
-    return V.null_draws(spark, d).groupBy("gene_id").agg(F.round(F.percentile("draw", 0.025), 2).alias("low"), F.round(F.percentile("draw", 0.975), 2).alias("high"))
+    return V.null_draws(spark, d).groupBy("gene_id").agg(F.round(F.percentile("draw", 0.02537), 3).alias("low"), F.round(F.percentile("draw", 0.97463), 3).alias("high"))
 
 
 @query("a7_pearson_per_gene", with_views("geno pheno", " SELECT variant_id, round(corr(dosage, y), 6) AS r FROM geno JOIN pheno USING (sample_id) GROUP BY 1"))
@@ -687,3 +687,81 @@ def m12(spark, d):
     take = slice(0, 600)  # a cohort of pathogens has some hundreds of samples
     cohort = Cohort(np.array(x.g.tolist()).T[take], side.log2_lower.to_numpy()[take], side.log2_upper.to_numpy()[take], values[take], nations[take])
     return cross_validated(spark, cohort).drop("chosen", "coefficients")
+
+
+def points(spark, d):
+    """A study: every fifth sample, its nation as label, and two numbers."""
+    return V.pheno(spark, d).filter("sample_id % 5 = 0").select(F.col("sample_id").alias("id"), (F.col("nation") % 3).alias("label"), F.array(F.col("y"), F.col("nation") * 10.0).alias("v"))
+
+
+POINTS = ", p AS (SELECT sample_id AS id, nation % 3 AS label, y AS a, nation * 10.0 AS b FROM pheno WHERE sample_id % 5 = 0), d AS (SELECT p.id, p.label, q.label AS other, q.id AS oid, sqrt((p.a - q.a) * (p.a - q.a) + (p.b - q.b) * (p.b - q.b)) AS d FROM p, p q WHERE p.id <> q.id)"
+
+
+@query("m32_silhouette", with_views("pheno", POINTS + ", m AS (SELECT id, label, other, avg(d) AS d FROM d GROUP BY 1, 2, 3), s AS (SELECT id, max(d) FILTER (label = other) AS a, min(d) FILTER (label <> other) AS b FROM m GROUP BY 1) SELECT round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM s"))
+def m32(spark, d):
+    from ..operators.classify import silhouette
+
+    return rounded(silhouette(points(spark, d)), "silhouette")
+
+
+@query("w13_knn_vote", with_views("pheno", POINTS + ", f AS (SELECT * FROM d WHERE id % 3 <> oid % 3), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, oid) AS n FROM f), v AS (SELECT id, label, other, count(*) AS c FROM k WHERE n <= 7 GROUP BY 1, 2, 3), w AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY c DESC, other) AS n FROM v) SELECT id, label, other AS predicted FROM w WHERE n = 1"))
+def w13(spark, d):
+    from ..operators.classify import neighbour_vote
+
+    return neighbour_vote(points(spark, d).withColumn("fold", (F.col("id") % 3).cast("int")), 7)
+
+
+@query("j13_answer_key_labels", "SELECT p_partkey AS feature_id, CASE WHEN p_size = 5 AND p_partkey % 2 = 0 THEN 'target' WHEN p_size = 7 THEN 'gene' WHEN p_partkey % 100 = 3 THEN 'named' END AS answer_key_role FROM part")
+def j13(spark, d):
+    k = F.col("p_partkey")
+    features = V.read(spark, d, "part").select(k.cast("string").alias("feature_id"), F.concat(F.lit("g"), F.col("p_size").cast("string")).alias("gene"), F.lit("S").alias("aa_ref"), F.lit(83).alias("aa_pos"), F.when(k % 2 == 0, "L").otherwise("W").alias("aa_alt"))
+    entries = spark.createDataFrame([(1, "target", "G5", "S", 83, ["L", "F"], None), (2, "gene", "g7", None, None, None, None), (3, "named", None, None, None, None, "^([0-9]*0)?3$")], "entry_no int, role string, gene string, aa_ref string, aa_pos int, aa_alts array<string>, id_pattern string")
+    return joins.first_match(features, entries).select(F.col("feature_id").cast("long").alias("feature_id"), "answer_key_role")
+
+
+@query("a11_overlap_counts", with_views("pvals", " SELECT count(*) FILTER (p < 0.3) AS n_ours, count(*) FILTER (p > 0.2) AS n_theirs, count(*) FILTER (p < 0.3 AND p > 0.2) AS n_both, round(count(*) FILTER (p < 0.3 AND p > 0.2) / count(*) FILTER (p > 0.2)::DOUBLE, 6) AS recall FROM pvals"))
+def a11(spark, d):
+    from ..operators.validation import overlap_counts
+
+    p = V.pvals(spark, d).select(F.col("variant").alias("gene_id"), "p")
+    return rounded(overlap_counts(p.filter("p < 0.3"), p.filter("p > 0.2"), p), "recall")
+
+
+@query("w12_random_folds")
+def w12(spark, d):
+    from ..operators.prediction import random_folds
+
+    return random_folds(V.pheno(spark, d).select("sample_id"), "sample_id", 5)
+
+
+@query("m23_permuted_inflation")
+def m23(spark, d):
+    from ..operators.eqtl import permuted_inflation
+
+    e, g, v = expression(spark, d)
+    return permuted_inflation(e, g, v, sizes(spark, d)[0], n=2, window=20_000)
+
+
+@query("m26_score_evaluation")
+def m26(spark, d):
+    from ..operators.eqtl import evaluation, resampled, score_metric
+
+    s = sample_side(matrix(spark, d)[1])
+    metric = score_metric(s.y.to_numpy() + s.nation.to_numpy(), s.case.to_numpy(float))
+    import numpy as np
+
+    every = np.arange(len(s))
+    return evaluation(resampled(spark, metric, len(s), 200, 200), metric(every, every))
+
+
+@query("m10_ridge_tobit")
+def m10(spark, d):
+    import numpy as np
+
+    from ..operators.censored import Outcome
+    from ..operators.prediction import ridge_tobit
+
+    x = presence(spark, d).orderBy("feature_id").toPandas()
+    side = intervals(spark, d).orderBy("sample_idx").toPandas()
+    model = ridge_tobit(np.array(x.g.tolist()).T, Outcome(side.log2_lower, side.log2_upper), 10.0)
+    return spark.createDataFrame([(str(n), float(v)) for n, v in zip(["intercept", *x.feature_id, "log_sigma"], model, strict=True)], "term string, value double")

@@ -220,3 +220,33 @@ def digest(df: DataFrame) -> str:
     n, total = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first()
     return hashlib.sha256(f"{sorted(df.dtypes)}|{n}|{total}".encode()).hexdigest()
 
+
+def screening_phenotype(pheno: DataFrame) -> DataFrame:
+    """samples, phenotype for an external screening tool that knows no censoring: exact values alone."""
+    return pheno.filter("log2_lower = log2_upper").select(F.col("sample_id").alias("samples"), F.col("log2_lower").alias("phenotype"))
+
+
+def screening_results(spark: SparkSession, path: str) -> DataFrame:
+    """feature_id, effect, se, p_value (of Wald, from effect and error), q_value of an external screen; rows with notes are kept and don't count."""
+    import pyarrow as pa
+
+    from ..functions.dist import norm_sf
+    from ..operators.ranks import adjusted
+    from ..runtime import ship
+
+    table = spark.read.csv(path, sep="\t", header=True)
+    missing = {"variant", "beta", "beta-std-err"} - set(table.columns)
+    if missing:
+        raise PrepError(f"{path} lacks {sorted(missing)}")
+    notes = F.col("notes") if "notes" in table.columns else F.lit(None).cast("string")
+    rows = table.select(F.col("variant").alias("feature_id"), F.col("beta").try_cast("double").alias("effect"), F.col("`beta-std-err`").try_cast("double").alias("se"), notes.alias("notes"))
+    ship(spark)
+
+    def wald(batches):
+        for b in batches:
+            z = b.column("effect").to_numpy(zero_copy_only=False).astype(float) / b.column("se").to_numpy(zero_copy_only=False).astype(float)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(2 * norm_sf(abs(z)), from_pandas=True)], names=[*b.schema.names, "p_value"])
+
+    found = rows.mapInArrow(wald, "feature_id string, effect double, se double, notes string, p_value double")
+    clean = found.withColumn("_p", F.when(F.col("notes").isNull() | (F.col("notes") == ""), F.col("p_value")))
+    return adjusted(clean, "_p", "feature_id").withColumnRenamed("fdr_bh", "q_value").drop("_p", "bonferroni")
