@@ -12,7 +12,7 @@ from .runtime import SPACES, cut, text_or_empty
 
 
 #: Hash groups of several rows up to this number (16 bytes each) are broadcast to select their texts.
-BROADCAST_GROUPS = 1_000_000
+BROADCAST_GROUPS = 500_000
 
 
 def normalised(text: str = "text") -> Column:

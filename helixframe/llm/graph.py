@@ -11,7 +11,7 @@ from .runtime import cut, ship
 
 
 #: Links up to this number (16 bytes each) are joined by one task; more take rounds.
-ONE_TASK = 1_000_000
+ONE_TASK = 250_000
 
 
 def union_find(batches):
