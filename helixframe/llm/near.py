@@ -48,19 +48,29 @@ def set_digests(width: int):
 
 
 def full_sets(width: int):
+    """doc_id, members: the set of each text as bytes."""
+
     def scan(batches):
         for b in batches:
-            for p in pieces(b.column("text")):
+            for p in pieces(b.column("text"), SIGNED_BYTES):
                 elements, counts = distinct(*shingles(words(p, SPACED), width), len(p))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(p.first, len(p)), binaries(elements, counts)], names=["doc_id", "members"])
 
     return scan
 
 
-def listed(batches):
-    for b in batches:
-        own = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column("members")]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in own], pa.int32()), pa.array(own, pa.list_(pa.int64()))], names=["doc_id", "n", "members"])
+def listed_sets(width: int):
+    """doc_id, n, members: the set of each text as numbers, and its size."""
+
+    def scan(batches):
+        for b in batches:
+            for p in pieces(b.column("text"), SIGNED_BYTES):
+                elements, counts = distinct(*shingles(words(p, SPACED), width), len(p))
+                bounds = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+                lists = pa.ListArray.from_arrays(bounds, pa.array(elements.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(p.first, len(p)), pa.array(counts.astype(np.int32)), lists], names=["doc_id", "n", "members"])
+
+    return scan
 
 
 def agreeing(batches):
@@ -110,7 +120,7 @@ def prefix_pairs(left: DataFrame, docs: DataFrame, width: int, per: int, of: int
     enough is left behind it for the overlap a link needs; pairs are joined on shingles of those prefixes, under that
     bound on positions and sizes. A document whose rare shingles are its own alone meets nothing.
     """
-    sets = selected(docs, left.select("doc_id").distinct()).mapInArrow(full_sets(width), "doc_id long, members binary").mapInArrow(listed, "doc_id long, n int, members array<long>")
+    sets = selected(docs, left.select("doc_id").distinct()).mapInArrow(listed_sets(width), "doc_id long, n int, members array<long>")
     rows = written(left.join(sets, "doc_id").dropDuplicates(["doc_id", "members"]).withColumn("set", F.monotonically_increasing_id()))
     rows = rows.select("doc_id", "component", "n", "set", F.explode("members").alias("shingle"))
     ranked = rows.join(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")), "shingle")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -71,6 +72,15 @@ class Words:
     hashes: np.ndarray
 
 
+def give_back() -> None:
+    """Return freed memory to the system: idle Python workers of an executor hold what they have."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def pieces(texts: pa.Array, size: int = PIECE, lower: bool = True) -> Iterator[Piece]:
     texts = (texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts).cast(pa.large_string()).fill_null("")
     _, where, data = texts.buffers()
@@ -82,6 +92,7 @@ def pieces(texts: pa.Array, size: int = PIECE, lower: bool = True) -> Iterator[P
         own = data[offsets[at] : offsets[end]]
         yield Piece(at, end, LOWER[own] if lower else own, offsets[at : end + 1] - offsets[at])
         at = end
+    give_back()
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
