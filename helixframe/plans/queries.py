@@ -462,7 +462,7 @@ def w5(spark, d):
     return V.cohort_records(spark, d).select("event_id", (F.row_number().over(Window.partitionBy("genome_id").orderBy("event_id")) > 1).alias("is_duplicate"))
 
 
-LINEAGE = ", s AS (SELECT sample_id, coalesce(CAST(CASE WHEN nation = 3 THEN NULL ELSE nation END AS VARCHAR), 'unknown') AS st FROM pheno), c AS (SELECT st, count(*) AS n FROM s GROUP BY 1), k AS (SELECT st FROM c WHERE n >= 50 ORDER BY n DESC, st LIMIT 10)"
+LINEAGE = ", s AS (SELECT sample_id, coalesce(CAST(CASE WHEN nation = 3 THEN NULL ELSE nation END AS VARCHAR), 'unknown') AS st FROM pheno), c AS (SELECT st, count(*) AS n FROM s GROUP BY 1), k AS (SELECT st FROM c WHERE n >= 10 ORDER BY n DESC, st LIMIT 10)"
 
 
 def lineages(spark, d):
@@ -471,12 +471,14 @@ def lineages(spark, d):
 
 @query("e22_lineage_groups", with_views("pheno", LINEAGE + " SELECT sample_id, CASE WHEN st IN (SELECT st FROM k) THEN st ELSE 'other_small' END AS lineage_group FROM s"))
 def e22(spark, d):
-    return cohorts.lineage_groups(lineages(spark, d), "st", 50, 10).select("sample_id", "lineage_group")
+    return cohorts.lineage_groups(lineages(spark, d), "st", 10, 10).select("sample_id", "lineage_group")
 
 
 @query("e21_lineage_dummies", with_views("pheno", LINEAGE + ", g AS (SELECT sample_id, CASE WHEN st IN (SELECT st FROM k) THEN st ELSE 'other_small' END AS lg FROM s), l AS (SELECT lg, row_number() OVER (ORDER BY count(*) DESC, lg) AS rn FROM g GROUP BY 1) SELECT g.sample_id, 'lineage[' || l.lg || ']' AS level, CAST(g.lg = l.lg AS DOUBLE) AS value FROM g, l WHERE rn > 1"))
 def e21(spark, d):
-    dummies, names = cohorts.lineage_dummies(cohorts.lineage_groups(lineages(spark, d), "st", 50, 10))
+    dummies, names = cohorts.lineage_dummies(cohorts.lineage_groups(lineages(spark, d), "st", 10, 10))
+    if not names:
+        return spark.createDataFrame([], "sample_id long, level string, value double")
     return dummies.unpivot(["sample_id"], [F.col(f"`{n}`") for n in names], "level", "value")
 
 
