@@ -548,9 +548,10 @@ def matrix(spark, d):
     """variant, dosage: each variant's values in the order of samples, null where missing. And the samples, in that order."""
     samples = ranks.numbered(V.pheno(spark, d).select("sample_id", "y", "case_flag", "nation"), "sample_id", name="at")
     cells = V.geno(spark, d).join(samples.select("sample_id", "at"), "sample_id")
-    n = samples.count()
-    by = cells.groupBy(F.col("variant_id").cast("string").alias("variant")).agg(F.map_from_entries(F.collect_list(F.struct("at", F.col("dosage").cast("double")))).alias("m"))
-    return by.select("variant", F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.element_at("m", i.cast("long"))).alias("dosage")), samples
+    # Every cell is asked for, missing ones too: samples times the fixed number of variants of the view.
+    grid = samples.select("at").crossJoin(F.broadcast(spark.range(V.N_VARIANTS).select(F.col("id").alias("variant_id")))).join(cells.select("at", "variant_id", "dosage"), ["at", "variant_id"], "left")
+    rows = grid.groupBy(F.col("variant_id").cast("string").alias("variant")).agg(F.array_sort(F.collect_list(F.struct("at", F.col("dosage").cast("double").alias("g")))).alias("cells"))
+    return rows.select("variant", F.col("cells.g").alias("dosage")), samples
 
 
 def sample_side(samples: DataFrame):
