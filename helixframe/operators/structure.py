@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import ship
+from ..runtime import cut, ship
 from .association import values_of
 
 #: Samples that a dense matrix of all pairs may have.
@@ -88,6 +88,68 @@ def principal_components(features: DataFrame, samples: list, k: int = 10, scaled
     return frame, kept / max(np.maximum(values, 0).sum(), 1e-300)
 
 
+def projected_components(rows: DataFrame, k: int = 10) -> tuple[DataFrame, np.ndarray]:
+    """Components as principal_components has them, of any number of samples by few features.
+
+    rows: sample_id and dosage, an array<double> by feature. Each partition adds up products of features and of what is
+    there; with integer dosages these sums are exact, in whatever order. Their matrix of all pairs of features is small,
+    and every sample is projected where its row lies.
+    """
+    first = rows.select(F.size("dosage")).first()
+    wide = first[0] if first else 0
+    if wide > DENSE_LIMIT:
+        raise ValueError(f"a dense matrix of {wide} features; the limit is {DENSE_LIMIT}")
+    ship(rows.sparkSession)
+
+    def halves(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        g = values_of(b.column("dosage"), wide)
+        there = np.isfinite(g)
+        return np.where(there, g, 0.0), there.astype(float)
+
+    def partial(batches):
+        total, n = np.zeros((2 * wide, 2 * wide)), 0
+        for b in batches:
+            x = np.hstack(halves(b))
+            total += x.T @ x
+            n += len(x)
+        yield pa.RecordBatch.from_arrays([pa.array(range(2 * wide + 1), pa.int32()), pa.array([*total.tolist(), [float(n)]], pa.list_(pa.float64()))], names=["i", "v"])
+
+    parts = rows.select("dosage").mapInArrow(partial, "i int, v array<double>")
+    summed = parts.select("i", F.posexplode("v").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x")).toPandas()
+    both = np.zeros((2 * wide + 1, max(2 * wide, 1)))
+    both[summed.i, summed.j] = summed.x
+    n, both = int(both[-1, 0]), both[:-1]
+    xx, xm, mm = both[:wide, :wide], both[:wide, wide:], both[wide:, wide:]
+    with np.errstate(all="ignore"):
+        mean = np.diag(xm) / np.diag(mm)
+    use = np.isfinite(mean) & (mean > 0) & (mean < 2)
+    used = int(use.sum())
+    if not used:
+        return rows.select("sample_id"), np.zeros(0)
+    mean = np.where(use, mean, 0.0)
+    scale = np.where(use, np.sqrt(mean * np.where(use, 1 - mean / 2, 1.0)), np.inf)
+    cross = (xx - xm * mean - (xm * mean).T + mm * np.outer(mean, mean)) / np.outer(scale, scale)
+    values, vectors = np.linalg.eigh(cross / used)
+    order = np.argsort(values)[::-1][: min(k, n - 1, used)]
+    kept = np.maximum(values[order], 0)
+    names = [f"PC{i + 1}" for i in range(len(order))]
+    weights = vectors[:, order] / scale[:, None]
+
+    def project(batches):
+        for b in batches:
+            x, there = halves(b)
+            pcs = x @ weights - there @ (mean[:, None] * weights)
+            yield pa.RecordBatch.from_arrays([b.column("sample_id"), *map(pa.array, pcs.T)], names=["sample_id", *names])
+
+    kind = rows.schema["sample_id"].dataType.simpleString()
+    pcs = cut(rows.select("sample_id", "dosage").mapInArrow(project, ", ".join([f"sample_id {kind}", *(f"{c} double" for c in names)])))
+    if not names:
+        return pcs, kept
+    largest = pcs.agg(*[F.min(F.struct((-F.abs(c)).alias("size"), "sample_id", F.col(c).alias("x"))).alias(c) for c in names]).first()
+    turned = [(F.col(c) * (-1.0 if largest[c].x < 0 else 1.0)).alias(c) for c in names]
+    return pcs.select("sample_id", *turned), kept / max(np.maximum(values, 0).sum(), 1e-300)
+
+
 def principal_coordinates(distance: np.ndarray, k: int = 5) -> np.ndarray:
     """Coordinates whose distances come nearest to those given; at most DENSE_LIMIT rows."""
     n = len(distance)

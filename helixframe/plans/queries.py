@@ -559,6 +559,13 @@ def sample_side(samples: DataFrame):
     return samples.orderBy("at").select("y", F.col("case_flag").cast("int").alias("case"), "nation").toPandas()
 
 
+def by_sample(spark, d):
+    """sample_id, dosage: the values of each sample by variant, null where missing."""
+    cells = V.geno(spark, d).groupBy("sample_id").pivot("variant_id", list(range(V.N_VARIANTS))).agg(F.max("dosage").cast("double"))
+    rows = V.pheno(spark, d).select("sample_id").join(cells, "sample_id", "left")
+    return rows.select("sample_id", F.array(*[F.col(f"`{v}`") for v in range(V.N_VARIANTS)]).alias("dosage"))
+
+
 @query("m2_linear_scan")
 def m2(spark, d):
     from ..operators.association import scan
@@ -614,12 +621,9 @@ def m8(spark, d):
 
 @query("m16_genotype_pca")
 def m16(spark, d):
-    from ..operators.structure import principal_components
+    from ..operators.structure import projected_components
 
-    variants, samples = matrix(spark, d)
-    ids = [r[0] for r in samples.orderBy("at").select("sample_id").limit(5000).collect()]
-    frame, _ = principal_components(variants.select(F.slice("dosage", 1, len(ids)).alias("dosage")), ids, 5)
-    return spark.createDataFrame(frame)
+    return projected_components(by_sample(spark, d), 5)[0]
 
 
 @query("m18_ld_prune")

@@ -77,6 +77,18 @@ def test_components_of_structured_samples(spark):
     assert np.allclose(np.sqrt(((back[:, None] - back[None]) ** 2).sum(axis=2)), d, atol=1e-6)
 
 
+def test_projected_components_are_those_of_all_samples(spark):
+    r = np.random.default_rng(5)
+    g = r.binomial(2, r.uniform(0.1, 0.9, (12, 1)), (12, 60)).astype(float)
+    g[r.random(g.shape) < 0.2] = np.nan
+    g[4], g[:, 7] = 2, np.nan
+    null = lambda row: [None if math.isnan(x) else float(x) for x in row]
+    whole, share = structure.principal_components(spark.createDataFrame([(null(row),) for row in g], "dosage array<double>"), list(range(60)), 4)
+    rows = spark.createDataFrame([(i, null(g[:, i])) for i in range(60)], "sample_id long, dosage array<double>").repartition(5)
+    found, part = structure.projected_components(rows, 4)
+    assert np.allclose(found.toPandas().sort_values("sample_id").to_numpy(), whole.to_numpy()) and np.allclose(part, share)
+
+
 def test_pruning_and_clusters():
     g = np.array([[0, 1, 2, 0, 1, 2], [0, 1, 2, 0, 1, 2], [2, 2, 0, 1, 0, 0], [1, 1, 1, 1, 1, 1], [0, 1, 2, 0, 1, 1]], float)
     unit, varies = structure.unit_rows(g)
