@@ -691,8 +691,7 @@ def m12(spark, d):
     side = intervals(spark, d).orderBy("sample_idx").toPandas()
     nations = sample_side(matrix(spark, d)[1]).nation.to_numpy()
     values = np.where(np.isfinite(side.log2_lower), side.log2_lower, side.log2_upper)
-    take = slice(0, 600)  # a cohort of pathogens has some hundreds of samples
-    cohort = Cohort(np.array(x.g.tolist()).T[take], side.log2_lower.to_numpy()[take], side.log2_upper.to_numpy()[take], values[take], nations[take])
+    cohort = Cohort(np.array(x.g.tolist()).T, side.log2_lower.to_numpy(), side.log2_upper.to_numpy(), values, nations)
     return cross_validated(spark, cohort).drop("chosen", "coefficients")
 
 
