@@ -1,12 +1,15 @@
 """A corpus made ready for training: five stages, each over all that the one before it kept.
 
 A stage takes (spark, docs, sf_dir) and gives the documents that it keeps, with all their columns; the last gives packed
-pieces. A row without doc_id can't be named by a decision about documents and passes the three stages that compare them.
+pieces. The three stages that compare documents give each row without doc_id a number of its own meanwhile.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from helixframe.llm.decontaminate import contamination
 from helixframe.llm.exact import exact_groups, normalised
@@ -25,24 +28,46 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without_toxic(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def rows_named(stage):
+    """stage over docs (doc_id a whole number) in which rows without doc_id have one, larger than all others; null again in its result.
+
+    Those rows are written, so that their numbers stay the same whenever they are read.
+    """
+
+    @functools.wraps(stage)
+    def go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        kind, unnamed = docs.schema["doc_id"].dataType, F.col("doc_id").isNull()
+        top, some = docs.agg(F.max("doc_id"), F.count_if(unnamed)).first()
+        if not some:
+            return stage(spark, docs, sf_dir)
+        rest = written(docs.filter(unnamed).withColumn("doc_id", F.lit(1 + (0 if top is None else top)) + F.monotonically_increasing_id()))
+        both = docs.filter(~unnamed).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("row without id", F.lit(False)).union(rest.withColumn("row without id", F.lit(True)))
+        return stage(spark, both, sf_dir).withColumn("doc_id", F.when(~F.col("row without id"), F.col("doc_id")).cast(kind)).drop("row without id")
+
+    return go
+
+
+@rows_named
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the smallest doc_id; of rows that repeat both, one."""
-    groups = cut(exact_groups(docs).filter("not kept and doc_id is not null").select("doc_id", "keep_id"))
+    groups = cut(exact_groups(docs).filter("not kept").select("doc_id", "keep_id"))
     rest = docs.join(groups.filter("doc_id <> keep_id").select("doc_id"), "doc_id", "left_anti")
     repeated = groups.filter("doc_id = keep_id").select("doc_id").distinct()
     once = rest.withColumn("normalised text", normalised()).join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "normalised text"]).select(*docs.columns)
     return rest.join(repeated, "doc_id", "left_anti").union(once.select(*rest.columns)).select(*docs.columns)
 
 
+@rows_named
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, by runs of five words: the one with the smallest doc_id."""
-    gone = near_components(docs, width=5).filter("not kept and doc_id is not null").select("doc_id")
+    gone = near_components(docs, width=5).filter("not kept").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti")
 
 
+@rows_named
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a word in a benchmark window."""
-    gone = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("contaminated and doc_id is not null").select("doc_id").distinct()
+    gone = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("contaminated").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti")
 
 

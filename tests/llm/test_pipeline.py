@@ -69,6 +69,21 @@ def test_each_stage_takes_what_it_should(spark, tables, tmp_path):
     assert pipeline.run(spark, path).count() == packed.count()
 
 
+def test_rows_without_id_are_compared_like_others(spark, tables):
+    path, *_ = tables
+    r = random.Random(9)
+    text = lambda n: " ".join(r.choice([f"other{i}" for i in range(500)]) for _ in range(n))
+    item = spark.read.parquet(f"{path}/benchmark.parquet").first().text
+    a, b, c = text(60), text(60), text(60)
+    near = " ".join(["changed" if i == 30 else w for i, w in enumerate(b.split())])
+    rows = [(1, a), (None, a), (None, a.replace(" ", "  ", 1)), (2, b), (None, near), (None, c), (None, c), (None, f"{text(20)} {item} {text(20)}"), (None, text(60))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], COLUMNS)
+    for stage, left in zip(pipeline.STAGES[1:4], [6, 5, 4], strict=True):
+        docs = pipeline.written(stage[1](spark, docs, path))
+        assert docs.count() == left
+    assert sorted(str(x.doc_id) for x in docs.collect()) == ["1", "2", "None", "None"]
+
+
 def test_stages_take_empty_tables_and_more_columns(spark, tables, tmp_path):
     path, *_ = tables
     none = spark.read.parquet(f"{path}/documents.parquet").limit(0).withColumns({"score": F.lit(1), "h": F.lit("x"), "row": F.lit(2), "kept": F.lit(True)})
