@@ -6,21 +6,27 @@ import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one is made only where the session names none, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    jsc = spark.sparkContext._jsc.sc()
+    """The folder in spark.checkpoint.dir. Only a session in one JVM may name none, as in tests, and gets a local one."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    jsc = sc._jsc.sc()
     if not found and jsc.getCheckpointDir().isDefined():
         found = jsc.getCheckpointDir().get()
     if not found:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="checkpoints-")
     if not jsc.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(found)
+        sc.setCheckpointDir(found)
     return found
 
 
@@ -30,12 +36,45 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession):
+    """Exchanges of the jobs inside are deleted as each job ends: what it wrote is all that is read later."""
+    before = spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """path and its file system, as objects of the JVM."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """df written as Parquet to the shared folder and read again: for wide rows, of which later steps read a few columns each."""
+    """df written as Parquet to the shared folder and read again: for wide rows, of which later steps read a few columns each.
+
+    All tables of an application lie in one folder of its own, which is deleted as the driver's JVM ends.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    own = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}"
+    at, files = hadoop_path(spark, own)
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    path = f"{own}/{uuid.uuid4().hex}"
+    with freed_shuffles(spark):
+        df.write.option("compression", codec).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table from written() that no later step reads."""
+    at, files = hadoop_path(df.sparkSession, df._written_at)
+    files.delete(at, True)
 
 
 def ship(spark: SparkSession) -> None:
