@@ -1,66 +1,29 @@
-"""What every operator here needs from the cluster: shared storage to cut lineage, and its own code on executors."""
+"""What the corpus operators share: the cluster's services, with small batches of texts, and a few columns."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import runtime
+from ..runtime import cut, discard, freed_shuffles, shared_dir, written
+
+__all__ = ["SPACES", "cut", "discard", "documents", "freed_shuffles", "id_bucket", "shared_dir", "ship", "text_or_empty", "written"]
+
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: White space of the contracts: blank and 0x09 to 0x0D.
 SPACES = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one is made only where the session names none, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    jsc = spark.sparkContext._jsc.sc()
-    if not found and jsc.getCheckpointDir().isDefined():
-        found = jsc.getCheckpointDir().get()
-    if not found:
-        found = tempfile.mkdtemp(prefix="checkpoints-")
-    if not jsc.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared checkpoint folder; Spark drops the files when nothing refers to them. For small rows."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """df written as Parquet to the shared folder and read again: for wide rows, of which later steps read a few columns each."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ship(spark: SparkSession) -> None:
-    """Give executors this package, so that functions of its modules can be found there by name; and keep batches of texts small.
+    """Give executors this package, and keep batches of texts small.
 
     A batch of rows lies in the JVM and in a Python worker at once, and texts have some KB each. The setting is changed
     only where the session has the default.
     """
-    sc = spark.sparkContext
     if spark.conf.get(BATCH_ROWS) == "10000":
         spark.conf.set(BATCH_ROWS, "1000")
-    if getattr(sc, "_corpus_code", False):
-        return
-    top = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="code-")) / f"{top.name}.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, os.path.join(top.name, p.relative_to(top)))
-    sc.addPyFile(str(target))
-    sc._corpus_code = True
+    runtime.ship(spark)
 
 
 def text_or_empty(name: str = "text") -> Column:
