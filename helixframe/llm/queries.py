@@ -13,8 +13,8 @@ from .lines import duplicate_lines
 from .near import near_components
 from .packing import pack
 from .pages import main_text
-from .pitman_yor import language_scores
 from .runtime import documents, id_bucket
+from .scoring import language_scores
 from .secrets import ALPHABET, BASE, CANDIDATE, LEAST_RANDOM, secret_spans, trained
 from .shard import assign_shards
 from .toxicity import THRESHOLD, toxicity, train
