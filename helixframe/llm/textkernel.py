@@ -97,9 +97,9 @@ def pieces(texts: pa.Array, size: int = PIECE, lower: bool = True) -> Iterator[P
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A hash of the bytes of each span, the same wherever it stands: differences of one running sum."""
-    up, down = powers(len(data))
+    up, down = powers(len(data) + 1)  # an empty span may begin where the data end
     total = np.zeros(len(data) + 1, U)
-    np.cumsum(VALUE[data] * up, out=total[1:])
+    np.cumsum(VALUE[data] * up[:-1], out=total[1:])
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U) * GOLDEN)
 
 
