@@ -19,6 +19,12 @@ BANDS, ROWS = 32, 4
 AGREE = 79
 #: Bytes of text signed at a time: of each shingle in them all ranks are held.
 SIGNED_BYTES = 1 << 18
+#: Bits of a set's parity map, which bounds what two sets have in common.
+MAP_BITS = 512
+#: Sets that one shingle's list holds; of longer lists each pair of parts is a list of its own.
+LIST = 1024
+#: Pairs of one list compared at a time.
+AT_ONCE = 1 << 19
 #: Candidate ids up to this number (8 bytes each) are broadcast to select texts; more are joined by an exchange.
 BROADCAST_IDS = 1_000_000
 
@@ -60,19 +66,69 @@ def full_sets(width: int):
 
 
 def listed_sets(width: int):
-    """doc_id, n, members: the set of each text as numbers, and its size."""
+    """doc_id, n, members, parity: the set of each text as numbers, its size, and a map of the parities of their remainders."""
 
     def scan(batches):
         for b in batches:
             for p in pieces(b.column("text"), SIGNED_BYTES):
                 elements, counts = distinct(*shingles(words(p, SPACED), width), len(p))
-                bounds = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-                lists = pa.ListArray.from_arrays(bounds, pa.array(elements.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(p.first, len(p)), pa.array(counts.astype(np.int32)), lists], names=["doc_id", "n", "members"])
+                at = np.concatenate([[0], np.cumsum(counts)])
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(elements.view(np.int64)))
+                maps = [np.packbits(np.bincount((elements[i:j] % U(MAP_BITS)).astype(np.int64), minlength=MAP_BITS) & 1).tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(p.first, len(p)), pa.array(counts.astype(np.int32)), lists, pa.array(maps, pa.binary())], names=["doc_id", "n", "members", "parity"])
 
     return scan
 
 
+def close_pairs(per: int, of: int):
+    """Pairs (a, b) of one list, of different components, whose sizes, places in the list and parity maps allow a link.
+
+    Rows come sorted by list. Two maps differ in at least one element for each bit in which they do, and a link allows so
+    many: so what can't be linked is passed over here and never becomes a row.
+    """
+
+    def compare(t: pa.Table):
+        doc, component, n, at, part, first, last = (t.column(c).to_numpy() for c in ("doc_id", "component", "n", "at", "part", "x", "y"))
+        maps = np.frombuffer(b"".join(t.column("parity").to_pylist()), U).reshape(len(doc), -1)
+        key = np.stack([t.column("shingle").to_numpy(), first.astype(np.int64), last.astype(np.int64)])
+        ends = np.append(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, len(doc))
+        after = ends[np.searchsorted(ends, np.arange(len(doc)), "right")] - np.arange(len(doc)) - 1  # rows of the list behind each
+        total = np.concatenate([[0], np.cumsum(after)])
+        i = 0
+        while i < len(doc):
+            j = max(i + 1, int(np.searchsorted(total, total[i] + AT_ONCE, "right")) - 1)
+            x = np.repeat(np.arange(i, j), after[i:j])
+            y = x + 1 + np.arange(len(x)) - (total[x] - total[i])
+            ok = (component[x] != component[y]) & ((first[x] == last[x]) | (part[x] != part[y]))
+            ok &= np.minimum(n[x] - at[x], n[y] - at[y]) * (of + per) >= (n[x] + n[y]) * per
+            x, y = x[ok], y[ok]
+            differ = np.bitwise_count(maps[x] ^ maps[y]).sum(axis=1, dtype=np.int64)
+            ok = (n[x] + n[y] - differ) * (of + per) >= 2 * (n[x] + n[y]) * per
+            x, y = x[ok], y[ok]
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(doc[x], doc[y])), pa.array(np.minimum(doc[x], doc[y]))], names=["a", "b"])
+            i = j
+
+    def go(batches):
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            own = np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("shingle", "x", "y")])
+            begins = np.flatnonzero((own != own[:, -1:]).any(axis=0))
+            whole = int(begins[-1]) + 1 if len(begins) else 0  # the list that the last row is of may go on in the next batch
+            if held and (whole or [held[-1].column(c)[-1].as_py() for c in ("shingle", "x", "y")] != own[:, 0].tolist()):
+                yield from compare(pa.Table.from_batches([*held, b.slice(0, whole)]).combine_chunks())
+                held = []
+            elif whole:
+                yield from compare(pa.Table.from_batches([b.slice(0, whole)]))
+            held.append(b.slice(whole))
+        if held:
+            yield from compare(pa.Table.from_batches(held).combine_chunks())
+
+    return go
+
+
 def agreeing(batches):
     """Pairs whose signatures agree in AGREE slots or more."""
     for b in batches:
@@ -117,19 +173,24 @@ def prefix_pairs(left: DataFrame, docs: DataFrame, width: int, per: int, of: int
     """Pairs (a, b) of different components in left (doc_id, component) that may be linked; every link is among them.
 
     Shingles are ordered by how few of these documents have them. Linked sets share a shingle so early in both that
-    enough is left behind it for the overlap a link needs; pairs are joined on shingles of those prefixes, under that
-    bound on positions and sizes. A document whose rare shingles are its own alone meets nothing.
+    enough is left behind it for the overlap a link needs. The documents of each shingle of those prefixes are a list, in
+    which pairs are compared where they lie (close_pairs), so only those that stay become rows. A list of more than LIST
+    documents is dealt into parts, and each two parts are compared in a place of their own. A document whose rare
+    shingles are its own alone meets nothing.
     """
-    sets = selected(docs, left.select("doc_id").distinct()).mapInArrow(listed_sets(width), "doc_id long, n int, members array<long>")
-    rows = written(left.join(sets, "doc_id").dropDuplicates(["doc_id", "members"]).withColumn("set", F.monotonically_increasing_id()))
-    rows = rows.select("doc_id", "component", "n", "set", F.explode("members").alias("shingle"))
+    sets = selected(docs, left.select("doc_id").distinct()).mapInArrow(listed_sets(width), "doc_id long, n int, members array<long>, parity binary")
+    sets = written(left.join(sets, "doc_id").dropDuplicates(["doc_id", "members"]).withColumn("set", F.monotonically_increasing_id()))
+    rows = sets.select("set", "n", F.explode("members").alias("shingle"))
     ranked = rows.join(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")), "shingle")
-    ranked = ranked.withColumn("at", F.row_number().over(Window.partitionBy("set").orderBy("often", "shingle")) - 1)
-    prefix = cut(ranked.filter((F.col("often") > 1) & (F.col("at") <= F.col("n") - F.ceil(F.col("n") * per / of))).select("doc_id", "component", "n", "shingle", "at"))
-    x, y = prefix.alias("x"), prefix.alias("y")
-    enough = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) * (of + per) >= (F.col("x.n") + F.col("y.n")) * per
-    on = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.doc_id") > F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")) & enough
-    return x.join(y, on).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+    ranked = ranked.withColumn("at", (F.row_number().over(Window.partitionBy("set").orderBy("often", "shingle")) - 1).cast("long"))
+    prefix = ranked.filter((F.col("often") > 1) & (F.col("at") <= F.col("n") - F.ceil(F.col("n") * per / of))).select("set", "shingle", "often", "at")
+    parts = F.ceil(F.col("often") / LIST).cast("int")
+    part = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
+    listed = prefix.join(sets.select("set", "doc_id", "component", F.col("n").cast("long").alias("n"), "parity"), "set").withColumn("parts", parts).withColumn("part", part)
+    listed = listed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    listed = listed.select("shingle", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "doc_id", "component", "n", "at", "parity")
+    together = listed.repartition("shingle", "x", "y").sortWithinPartitions("shingle", "x", "y")
+    return together.mapInArrow(close_pairs(per, of), "a long, b long").distinct()
 
 
 def near_components(docs: DataFrame, width: int = 5, per: int = 80, of: int = 100) -> DataFrame:

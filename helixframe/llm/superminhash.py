@@ -9,7 +9,24 @@ from .textkernel import GOLDEN, RADIX, U, mix
 EMPTY = U(2**64 - 1)
 
 
+#: Elements whose ranks, m each, are held at a time.
+AT_ONCE = 1 << 16
+
+
 def signatures(elements: np.ndarray, counts: np.ndarray, m: int) -> np.ndarray:
+    """signatures_of over any number of elements: values of a set are the least over its parts."""
+    if len(elements) <= AT_ONCE:
+        return signatures_of(elements, counts, m)
+    out, ends = np.full((len(counts), m), EMPTY, U), np.cumsum(counts)
+    for a in range(0, len(elements), AT_ONCE):
+        b = min(a + AT_ONCE, len(elements))
+        own = np.clip(np.minimum(ends, b) - np.maximum(ends - counts, a), 0, None)
+        some = np.flatnonzero(own)
+        out[some] = np.minimum(out[some], signatures_of(elements[a:b], own[some], m))
+    return out
+
+
+def signatures_of(elements: np.ndarray, counts: np.ndarray, m: int) -> np.ndarray:
     """For each set (counts[i] elements, one set after another) m values; an empty set has EMPTY in all.
 
     Slot i of a set is the least over its elements e of j + r, where j is the rank that e gives to slot i and r in [0, 1)

@@ -108,3 +108,41 @@ def test_signature_agreement_estimates_jaccard():
     assert (signatures(np.empty(0, U), np.array([0]), 8) == EMPTY).all()
     alone = signatures(mix(np.arange(1, dtype=U)), np.array([1]), 64)[0]
     assert sorted(int(x) >> 32 for x in alone) == list(range(64))  # one element ranks every slot once
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_filter_keeps_every_link(spark, monkeypatch, small):
+    from pyspark.sql import functions as F
+
+    from helixframe.llm import near
+
+    if small:
+        for name in ("LIST", "AT_ONCE"):
+            monkeypatch.setattr(near, name, 3)
+    rows = corpus(11)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    found = {tuple(r) for r in near.prefix_pairs(docs.select("doc_id", F.col("doc_id").alias("component")), docs, 2, 80, 100).collect()}
+    sets = {i: shingle_set(t, 2) for i, t in rows}
+    links = {(max(i, j), min(i, j)) for i in sets for j in sets if i != j and sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert len(links) > 50 and found >= links
+
+
+def test_boilerplate_gives_no_pairs_that_cant_be_linked(spark):
+    from pyspark.sql import functions as F
+
+    from helixframe.llm import near
+
+    r = random.Random(5)
+    common = " ".join(f"common{k}" for k in range(100))
+    for n in (500, 2000):
+        rows = [(i, f"{common} " + " ".join(f"own{r.randrange(30)}" for _ in range(22))) for i in range(n)]
+        docs = spark.createDataFrame(rows, SCHEMA)
+        assert near.prefix_pairs(docs.select("doc_id", F.col("doc_id").alias("component")), docs, 2, 80, 100).count() <= n
+
+
+def test_very_long_texts(spark):
+    r = random.Random(6)
+    words = [f"x{r.randrange(10**6)}" for _ in range(120_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:118_000])), (3, " ".join(words[:50_000])), (4, "x" * 500_000)]
+    got = {x.doc_id: x.component_id for x in near_components(spark.createDataFrame(rows, SCHEMA), 5).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
