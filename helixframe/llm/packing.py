@@ -17,12 +17,14 @@ from .tokens import PIECE_BYTES, token_ids
 
 LENGTH = 2048
 END = 1
+#: Place on the curve, doc_id, and a number that tells rows apart that repeat both.
+KEY = ["key", "k", "row"]
 #: Dimensions of the curve and bits of each: together under 63.
 DIMS, BITS = 3, 16
 #: A projected coordinate lies in [-1, 1]; those of real texts lie well inside this part of it.
 SPREAD = 0.5
-#: Tokens a range should have, and the most ranges: their totals and splitters are all that the driver holds.
-RANGE_TOKENS, MOST_RANGES = 1 << 20, 20_000
+#: Tokens a range should have, and the most ranges: their totals and a sample of KEYS_PER_RANGE keys each are all that the driver holds.
+RANGE_TOKENS, MOST_RANGES = 1 << 20, 50_000
 
 
 def projected(hashes: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
@@ -133,7 +135,8 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END,
     at the end of the corpus goes into sequences of a power of two, so there is no padding at all.
 
     Sampled splitters weighted by tokens divide the curve into ranges, in each of which documents are streamed in order;
-    the sums of tokens before each range are all that is shared. Copies have one key, and doc_id divides them.
+    the sums of tokens before each range are all that is shared. Copies have one key, and doc_id divides them, or the row
+    where rows repeat an id too. Each range is a task, which spills what it sorts; past MOST_RANGES ranges grow.
 
     Null text is empty: one end token. A null doc_id sorts first. Repeated rows are packed each. Other columns are not
     read. Empty input gives an empty result.
@@ -144,16 +147,16 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END,
     kind = token_ids(definition).kind.str
     given = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("k"), text_or_empty().alias("text"))
     id_type = given.schema["doc_id"].dataType.simpleString()
-    table = written(given.mapInArrow(tokenised(definition, end), f"doc_id {id_type}, k long, key long, n long, ids binary"))
+    table = written(given.mapInArrow(tokenised(definition, end), f"doc_id {id_type}, k long, key long, n long, ids binary").withColumn("row", F.monotonically_increasing_id()))
     rows, total = table.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     n_ranges = int(min(max(total // RANGE_TOKENS, 1), MOST_RANGES))
-    splitters = sampled_splitters(table, "key", "k", F.col("n") + F.lit(total / max(rows, 1)), 2.0 * total, n_ranges)
-    totals = sorted(with_range(table.select("key", "k", "n"), "key", "k", splitters).groupBy("range_id").agg(F.sum("n")).collect())
+    splitters = sampled_splitters(table, KEY, F.col("n") + F.lit(total / max(rows, 1)), 2.0 * total, n_ranges)
+    totals = sorted(with_range(table.select(*KEY, "n"), KEY, splitters).groupBy("range_id").agg(F.sum("n")).collect())
     starts, before = {}, 0
     for range_id, n in totals:
         starts[range_id] = before
         before += n
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_ranges // 4)
-    ordered = with_range(table, "key", "k", splitters).repartition(parts, "range_id").sortWithinPartitions("range_id", "key", "k", F.crc32("ids"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_ranges)
+    ordered = with_range(table, KEY, splitters).repartition(parts, "range_id").sortWithinPartitions("range_id", *KEY)
     schema = f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids array<long>" if with_ids else "")
     return ordered.mapInArrow(cut_pieces(starts, total, length, kind, with_ids), schema)

@@ -14,6 +14,8 @@ RANGES_PER_SHARD = 64
 #: A group of equal texts up to this part of a shard goes to one shard as a whole; larger groups are divided.
 WHOLE_GROUP = 0.02
 OVERHEAD = 8
+#: Hash of the text, doc_id, and a number that tells rows apart that repeat both.
+KEY = ["h", "k", "row"]
 
 
 def assign_shards(docs: DataFrame, n_shards: int, law: str = "bytes", ranges_per_shard: int = RANGES_PER_SHARD) -> DataFrame:
@@ -25,7 +27,9 @@ def assign_shards(docs: DataFrame, n_shards: int, law: str = "bytes", ranges_per
     Rows are ordered by (hash of the text, doc_id). A sample with chances in proportion to size gives splitters of many
     more ranges than shards; exact totals of the ranges (one row a range) place them on the scale from 0 to the sum, and
     each row's place on that scale names its shard, so a range over the end of a shard is divided. A group of equal texts
-    with a third of all rows takes many ranges, told apart by doc_id.
+    with a third of all rows takes many ranges, told apart by doc_id, and by row where rows repeat an id too. Law "bytes"
+    divides no group of up to WHOLE_GROUP of a shard, and of larger ones only those that a shard ends in: n_shards - 1
+    groups at most, whatever the number of groups.
 
     Null text counts as empty with size 8; a null doc_id sorts first. Rows repeated with one doc_id and text are all
     placed. Other columns are not read. Empty input gives an empty result.
@@ -40,6 +44,7 @@ def assign_shards(docs: DataFrame, n_shards: int, law: str = "bytes", ranges_per
             F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("k"),
             (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
+            F.monotonically_increasing_id().alias("row"),
         )
     )
     rows, size = digest.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
@@ -47,15 +52,15 @@ def assign_shards(docs: DataFrame, n_shards: int, law: str = "bytes", ranges_per
     amount = F.col("size") if law == "bytes" else F.lit(1).cast("long")
     whole = size if law == "bytes" else rows
     # Rows count as well as bytes, so that a range of very many empty texts is divided too.
-    splitters = sampled_splitters(digest, "h", "k", F.col("size") + F.lit(mean), 2.0 * size, n_shards * ranges_per_shard)
-    ranged = cut(with_range(digest, "h", "k", splitters))
+    splitters = sampled_splitters(digest, KEY, F.col("size") + F.lit(mean), 2.0 * size, n_shards * ranges_per_shard)
+    ranged = cut(with_range(digest, KEY, splitters))
     totals = sorted(ranged.groupBy("range_id").agg(F.sum(amount)).collect())  # a row a range
     before, starts = 0, []
     for range_id, total in totals:
         starts.append((range_id, before))
         before += total
     start = F.broadcast(digest.sparkSession.createDataFrame(starts, "range_id int, start long"))
-    inside = Window.partitionBy("range_id").orderBy("h", "k").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("range_id").orderBy(*KEY).rowsBetween(Window.unboundedPreceding, -1)
     group = Window.partitionBy("range_id", "h")
     here = F.coalesce(F.sum(amount).over(inside), F.lit(0))
     placed = ranged.withColumn("here", here)
@@ -69,7 +74,7 @@ def assign_shards(docs: DataFrame, n_shards: int, law: str = "bytes", ranges_per
     if law == "rows":
         place = F.floor((F.col("start") + F.col("here")) * n_shards / F.lit(max(whole, 1)))
     placed = placed.withColumn("shard", F.least(place, F.lit(n_shards - 1)).cast("int"))
-    placed = cut(placed.withColumn("n", F.row_number().over(Window.partitionBy("range_id", "shard").orderBy("h", "k"))).drop("here", "middle", "start"))
+    placed = cut(placed.withColumn("n", F.row_number().over(Window.partitionBy("range_id", "shard").orderBy(*KEY))).drop("here", "middle", "start"))
     counts = sorted(placed.groupBy("shard", "range_id").count().collect())
     bases, last, base = [], None, 0
     for shard, range_id, n in counts:
