@@ -16,7 +16,7 @@ COLUMNS = {
     "op2_html_extraction": "page_id url text n_chars",
     "op3_minhash": "doc_id n_shingles component_id kept",
     "op5_exact_dedup": "doc_id keep_id group_size kept text_sha256",
-    "op6_toxicity": "doc_id held_out score predicted",
+    "op6_toxicity": "doc_id held_out score predicted threshold toxic",
     "op7_secret_scan": "doc_id n_assign n_access n_hex base_sha256 spans",
     "op8_decontamination": "doc_id n_words n_hit n_items items_sha256 contaminated",
     "op9_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset",

@@ -92,3 +92,24 @@ def test_stages_take_empty_tables_and_more_columns(spark, tables, tmp_path):
         assert out.count() == 0
         if i + 1 < len(pipeline.STAGES):
             assert out.columns == none.columns
+
+
+def test_rows_that_share_an_id_are_judged_each_by_its_own_text(spark, tables):
+    path, *_ = tables
+    r = random.Random(12)
+    text = lambda n: " ".join(r.choice([f"shared{i}" for i in range(500)]) for _ in range(n))
+    item = spark.read.parquet(f"{path}/benchmark.parquet").first().text
+    a, b, c, d, e = (text(60) for _ in range(5))
+    near = " ".join(["changed" if i == 30 else w for i, w in enumerate(b.split())])
+    extra = {"row": F.lit(1), "whole": F.lit("x"), "key": F.lit(2), "component_id": F.lit(3), "kept": F.lit(False), "h": F.lit("y")}
+
+    def left(stage, rows):
+        out = pipeline.STAGES[stage][1](spark, spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], COLUMNS).withColumns(extra), path)
+        assert out.columns == [f.split()[0] for f in COLUMNS.split(", ")] + list(extra)
+        return sorted((x.doc_id, x.text) for x in out.collect())
+
+    assert left(1, [(1, a), (5, a), (5, c)]) == sorted([(1, a), (5, c)])
+    assert left(1, [(5, a), (5, a), (7, a), (5, c), (7, d)]) == sorted([(5, a), (5, c), (7, d)])
+    assert left(2, [(1, b), (5, near), (5, c)]) == sorted([(1, b), (5, c)])
+    assert left(2, [(9, b), (5, near), (5, b), (9, c)])[0][0] == 5 and len(left(2, [(9, b), (5, near), (5, b), (9, c)])) == 2
+    assert left(3, [(1, a), (5, f"{d} {item}"), (5, e)]) == sorted([(1, a), (5, e)])
