@@ -1,7 +1,7 @@
 """A corpus made ready for training: five stages, each over all that the one before it kept.
 
 A stage takes (spark, docs, sf_dir) and gives the documents that it keeps, with all their columns; the last gives packed
-pieces. The three stages that compare documents give each row without doc_id a number of its own meanwhile.
+pieces. Stages decide by row: rows without doc_id, and rows of several texts under one, are judged each by its own text.
 """
 
 from __future__ import annotations
@@ -10,9 +10,10 @@ import functools
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from helixframe.llm.decontaminate import contamination
-from helixframe.llm.exact import exact_groups, normalised
+from helixframe.llm.exact import exact_groups
 from helixframe.llm.near import near_components
 from helixframe.llm.packing import pack
 from helixframe.llm.queries import tokenizer_path
@@ -21,6 +22,8 @@ from helixframe.llm.toxicity import train, without_toxic
 
 #: SQL can express neither the classifier nor the near duplicates nor the packing.
 ORACLE_SQL = None
+#: A column beside those of docs, by which a stage tells rows apart.
+ROW = "row of the stage"
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,47 +31,52 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without_toxic(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
-def rows_named(stage):
-    """stage over docs (doc_id a whole number) in which rows without doc_id have one, larger than all others; null again in its result.
+def by_row(stage):
+    """The stage that drops the rows of docs which `stage` names by ROW, a number that no two rows share.
 
-    Those rows are written, so that their numbers stay the same whenever they are read.
+    That number is doc_id where it is whole, never null and never repeated; otherwise rows are numbered and written, so that
+    their numbers stay the same whenever they are read. So a row is judged by its own text, whatever id others have.
     """
 
     @functools.wraps(stage)
     def go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        kind, unnamed = docs.schema["doc_id"].dataType, F.col("doc_id").isNull()
-        top, some = docs.agg(F.max("doc_id"), F.count_if(unnamed)).first()
-        if not some:
-            return stage(spark, docs, sf_dir)
-        rest = written(docs.filter(unnamed).withColumn("doc_id", F.lit(1 + (0 if top is None else top)) + F.monotonically_increasing_id()))
-        both = docs.filter(~unnamed).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("row without id", F.lit(False)).union(rest.withColumn("row without id", F.lit(True)))
-        return stage(spark, both, sf_dir).withColumn("doc_id", F.when(~F.col("row without id"), F.col("doc_id")).cast(kind)).drop("row without id")
+        rows, ids = docs.agg(F.count(F.lit(1)), F.count_distinct("doc_id")).first()
+        if rows == ids and isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+            named = docs.withColumn(ROW, F.col("doc_id").cast("long"))
+        else:
+            named = written(docs.withColumn(ROW, F.monotonically_increasing_id()))
+        gone = cut(stage(spark, named.select(F.col(ROW).alias("doc_id"), "text"), named.select(F.col(ROW).alias("row"), "doc_id"), sf_dir))
+        return named.join(gone.toDF(ROW), ROW, "left_anti").select(*docs.columns)
 
     return go
 
 
-@rows_named
-def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the smallest doc_id; of rows that repeat both, one."""
-    groups = cut(exact_groups(docs).filter("not kept").select("doc_id", "keep_id"))
-    rest = docs.join(groups.filter("doc_id <> keep_id").select("doc_id"), "doc_id", "left_anti")
-    repeated = groups.filter("doc_id = keep_id").select("doc_id").distinct()
-    once = rest.withColumn("normalised text", normalised()).join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "normalised text"]).select(*docs.columns)
-    return rest.join(repeated, "doc_id", "left_anti").union(once.select(*rest.columns)).select(*docs.columns)
+def all_but_first(groups: DataFrame, names: DataFrame) -> DataFrame:
+    """The rows of groups (row, whole) but one of each: that with the smallest doc_id, then the first."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row"))
+    kept = groups.join(names, "row").groupBy("whole").agg(first.alias("first")).select("first.row")
+    return groups.select("row").join(kept, "row", "left_anti")
 
 
-@rows_named
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, by runs of five words: the one with the smallest doc_id."""
-    gone = near_components(docs, width=5).filter("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti")
+@by_row
+def exact_dedup(spark: SparkSession, docs: DataFrame, names: DataFrame, sf_dir: str) -> DataFrame:
+    """Of rows with equal texts all but the one with the smallest doc_id."""
+    groups = cut(exact_groups(docs).filter("group_size > 1").select(F.col("doc_id").alias("row"), F.col("keep_id").alias("whole")))
+    return all_but_first(groups, names)
 
 
-@rows_named
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a word in a benchmark window."""
-    gone = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("contaminated").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+@by_row
+def near_dedup(spark: SparkSession, docs: DataFrame, names: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates, by runs of five words, all rows but the one with the smallest doc_id."""
+    found = cut(near_components(docs, width=5).select(F.col("doc_id").alias("row"), F.col("component_id").alias("whole")))
+    several = found.filter("row <> whole").select("whole").distinct()
+    return all_but_first(found.join(several, "whole", "left_semi"), names)
+
+
+@by_row
+def decontamination(spark: SparkSession, docs: DataFrame, names: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows with a word in a benchmark window."""
+    return contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("contaminated").select("doc_id")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
