@@ -54,10 +54,28 @@ def adjusted(df: DataFrame, p: str, *ties: str) -> DataFrame:
     return done.unionByName(given.filter(F.col(p).isNull()).withColumns({"bonferroni": none, "fdr_bh": none}))
 
 
-def average_rank(c: str, *within: str) -> Column:
-    """The mean rank of equal values, in groups of columns within."""
-    group = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
-    return F.rank().over(group.orderBy(c)) + (F.count(F.lit(1)).over((Window.partitionBy(*within, c))) - 1) / 2.0
+def running(df: DataFrame, value: str, order: str, *within: str, name: str = "before") -> DataFrame:
+    """df with the sum of column value over the rows before each, in groups of columns within, by an order that is total there.
+
+    Rows are range-partitioned; a window sums within a partition, and one over the sums of partitions carries them on.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(df.repartitionByRange(parts, *within, order).withColumn("_part", F.spark_partition_id()))
+    to_here = lambda w: F.coalesce(F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = ranged.groupBy(*within, "_part").agg(F.sum(value).alias(value))
+    carried = sums.select(*within, "_part", to_here((Window.partitionBy(*within) if within else Window.partitionBy()).orderBy("_part")).alias("_carried"))  # a row a group and partition
+    inside = ranged.withColumn("_inside", to_here(Window.partitionBy(*within, "_part").orderBy(order)))
+    return inside.join(carried, [*within, "_part"]).withColumn(name, F.col("_inside") + F.col("_carried")).drop("_inside", "_carried", "_part")
+
+
+def with_average_rank(df: DataFrame, value: str, *within: str, name: str = "avg_rank") -> DataFrame:
+    """df with the mean rank of equal values in groups of columns within; null where the value is.
+
+    Ranks come from counts of distinct values, so a group of any size is spread over tasks and equal values cost one row.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*within, value).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = running(counts, "_n", value, *within, name="_before").select(*within, value, (F.col("_before") + (F.col("_n") + 1) / 2.0).alias(name))
+    return df.join(ranked, [*within, value], "left")
 
 
 def qq_points(df: DataFrame, p: str, *ties: str) -> DataFrame:
@@ -96,10 +114,8 @@ def empirical_p(null: str, observed: str, tail: str = "greater") -> Column:
 def auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """Area under the receiver operating curve: ties count a half; null if a class is absent.
 
-    Sums over distinct scores in order, so no window is over rows.
+    Sums over distinct scores in order, by partition.
     """
     by = cut(df.filter(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(score).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")))
-    sized = numbered(by, score, name="_rank")
-    below = F.sum("neg").over(Window.orderBy("_rank").rowsBetween(Window.unboundedPreceding, -1))
-    sums = sized.select("pos", "neg", F.coalesce(below, F.lit(0)).alias("below")).agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)).alias("u"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    sums = running(by, "neg", score, name="below").agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)).alias("u"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     return sums.select(F.try_divide("u", F.col("pos").cast("double") * F.col("neg")).alias("auc"), F.coalesce("pos", F.lit(0)).alias("n_pos"), F.coalesce("neg", F.lit(0)).alias("n_neg"))

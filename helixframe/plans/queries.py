@@ -153,17 +153,12 @@ def a18(spark, d):
 
 
 KING = """, a AS (SELECT a.sample_id AS id1, b.sample_id AS id2, count(*) FILTER (a.dosage = 1 AND b.dosage = 1) AS hh, count(*) FILTER (abs(a.dosage - b.dosage) = 2) AS opp, count(*) FILTER (a.dosage = 1) + count(*) FILTER (b.dosage = 1) AS het
-    FROM geno a JOIN geno b ON a.variant_id = b.variant_id AND a.sample_id < b.sample_id WHERE a.sample_id % 10 = 0 AND b.sample_id % 10 = 0 GROUP BY 1, 2), k AS (SELECT id1, id2, (hh - 2 * opp)::DOUBLE / nullif(het, 0) AS kinship FROM a)"""
-
-
-def tenth(spark, d):
-    """Every tenth sample is a stated set: pairs of samples are what kinship is about."""
-    return V.geno(spark, d).filter("sample_id % 10 = 0")
+    FROM geno a JOIN geno b ON a.variant_id = b.variant_id AND a.sample_id < b.sample_id GROUP BY 1, 2), k AS (SELECT id1, id2, (hh - 2 * opp)::DOUBLE / nullif(het, 0) AS kinship FROM a)"""
 
 
 @query("m20_king_robust", with_views("geno", KING + f" SELECT id1, id2, round(kinship, {R}) AS kinship FROM k"))
 def m20(spark, d):
-    return rounded(qc.king_robust(tenth(spark, d)), "kinship")
+    return rounded(qc.king_robust(V.geno(spark, d)), "kinship")
 
 
 @query(
@@ -171,7 +166,7 @@ def m20(spark, d):
     with_views("geno", KING + " SELECT id1, id2, round(kinship, 6) AS kinship, CASE WHEN kinship > 0.354 THEN 'duplicate/MZ twin' WHEN kinship > 0.177 THEN '1st degree' WHEN kinship > 0.0884 THEN '2nd degree' ELSE '3rd degree' END AS degree FROM k WHERE kinship > 0.0442"),
 )
 def f15(spark, d):
-    return rounded(qc.related_pairs(tenth(spark, d)), "kinship")
+    return rounded(qc.related_pairs(V.geno(spark, d)), "kinship")
 
 
 @query(
@@ -237,7 +232,7 @@ def w2(spark, d):
 
 @query("w3_average_rank", with_views("geno", " SELECT variant_id, sample_id, rank() OVER (PARTITION BY variant_id ORDER BY dosage) + (count(*) OVER (PARTITION BY variant_id, dosage) - 1) / 2.0::DOUBLE AS avg_rank FROM geno"))
 def w3(spark, d):
-    return V.geno(spark, d).select("variant_id", "sample_id", ranks.average_rank("dosage", "variant_id").alias("avg_rank"))
+    return ranks.with_average_rank(V.geno(spark, d), "dosage", "variant_id").select("variant_id", "sample_id", "avg_rank")
 
 
 @query("w10_qq_points", with_views("pvals", " SELECT variant, round(-log10((row_number() OVER (ORDER BY p, variant) - 0.5) / count(*) OVER ()::DOUBLE), 6) AS expected, round(-log10(greatest(p, 1e-300)), 6) AS observed FROM pvals"))
@@ -245,9 +240,16 @@ def w10(spark, d):
     return rounded(ranks.qq_points(V.pvals(spark, d), "p", "variant").select("variant", "expected", "observed"), "expected", "observed")
 
 
-@query("a4_genomic_inflation")
+#: The median chi-square has the middle p, or the mean of two; sixty halvings of an interval find the normal quantile of each, with tails by Simpson's rule.
+INFLATION = """, o AS (SELECT p, row_number() OVER (ORDER BY p) AS i, count(*) OVER () AS m FROM pvals), mid AS (SELECT i, p FROM o WHERE i IN ((m + 1) // 2, m // 2 + 1)),
+    b AS (SELECT i, p, 0.0::DOUBLE AS lo, 10.0::DOUBLE AS hi, 0 AS k FROM mid UNION ALL SELECT i, p, CASE WHEN q > p THEN z ELSE lo END, CASE WHEN q > p THEN hi ELSE z END, k + 1 FROM
+        (SELECT *, (lo + hi) / 2 AS z, 1 - sqrt(2 / pi()) * (lo + hi) / 2 / 3000 * list_sum(list_transform(range(0, 1001), lambda j: CASE WHEN j IN (0, 1000) THEN 1 WHEN j % 2 = 1 THEN 4 ELSE 2 END * exp(-pow((lo + hi) / 2 * j / 1000, 2) / 2))) AS q FROM b WHERE k < 60))
+    SELECT round(avg(lo * lo) / 0.454936423119572, 6) AS lambda FROM b WHERE k = 60"""
+
+
+@query("a4_genomic_inflation", with_views("pvals", INFLATION).replace("WITH ", "WITH RECURSIVE ", 1))
 def a4(spark, d):
-    return ranks.inflation(V.pvals(spark, d), "p")
+    return rounded(ranks.inflation(V.pvals(spark, d), "p"), "lambda")
 
 
 @query("e12_neglog10p", with_views("pvals", " SELECT variant, round(-log10(greatest(p, 1e-300)), 6) AS neglog10p FROM pvals"))
@@ -262,9 +264,9 @@ def a5(spark, d):
     return draws.join(observed, "gene_id").groupBy("gene_id").agg(F.round(ranks.empirical_p("draw", "observed"), R).alias("empirical_p"))
 
 
-@query("a6_percentile_interval", with_views("null_draws", " SELECT gene_id, round(quantile_cont(draw, 0.02537), 3) AS low, round(quantile_cont(draw, 0.97463), 3) AS high FROM null_draws GROUP BY 1"))
+@query("a6_percentile_interval", with_views("null_draws", " SELECT gene_id, round(quantile_cont(draw, 0.025), 3) AS low, round(quantile_cont(draw, 0.975), 3) AS high FROM null_draws GROUP BY 1"))
 def a6(spark, d):
-    return V.null_draws(spark, d).groupBy("gene_id").agg(F.round(F.percentile("draw", 0.02537), 3).alias("low"), F.round(F.percentile("draw", 0.97463), 3).alias("high"))
+    return V.null_draws(spark, d).groupBy("gene_id").agg(F.round(F.percentile("draw", 0.025), 3).alias("low"), F.round(F.percentile("draw", 0.975), 3).alias("high"))
 
 
 @query("a7_pearson_per_gene", with_views("geno pheno", " SELECT variant_id, round(corr(dosage, y), 6) AS r FROM geno JOIN pheno USING (sample_id) GROUP BY 1"))
@@ -282,7 +284,7 @@ def a7(spark, d):
 )
 def a8(spark, d):
     j = V.geno(spark, d).join(V.pheno(spark, d), "sample_id")
-    ranked = j.select("variant_id", ranks.average_rank("dosage", "variant_id").alias("a"), ranks.average_rank("y", "variant_id").alias("b"))
+    ranked = ranks.with_average_rank(ranks.with_average_rank(j, "dosage", "variant_id", name="a"), "y", "variant_id", name="b")
     return ranked.groupBy("variant_id").agg(F.round(F.corr("a", "b"), R).alias("rho"))
 
 
@@ -538,7 +540,7 @@ def w8(spark, d):
 @query("m9_feature_screen", with_views("geno pheno", ", j AS (SELECT variant_id, dosage, nation FROM geno JOIN pheno USING (sample_id)), r AS (SELECT variant_id, rank() OVER (PARTITION BY variant_id ORDER BY dosage) + (count(*) OVER (PARTITION BY variant_id, dosage) - 1) / 2.0 AS a, rank() OVER (PARTITION BY variant_id ORDER BY nation) + (count(*) OVER (PARTITION BY variant_id, nation) - 1) / 2.0 AS b FROM j), c AS (SELECT variant_id, abs(coalesce(corr(a, b), 0)) AS rho FROM r GROUP BY 1) SELECT variant_id, round(rho, 6) AS rho FROM c ORDER BY c.rho DESC, variant_id LIMIT 10"))
 def m9(spark, d):
     j = V.geno(spark, d).join(V.pheno(spark, d), "sample_id")
-    ranked = j.select("variant_id", ranks.average_rank("dosage", "variant_id").alias("a"), ranks.average_rank("nation", "variant_id").alias("b"))
+    ranked = ranks.with_average_rank(ranks.with_average_rank(j, "dosage", "variant_id", name="a"), "nation", "variant_id", name="b")
     rho = ranked.groupBy("variant_id").agg(F.abs(F.coalesce(F.corr("a", "b"), F.lit(0.0))).alias("rho"))
     return rounded(rho.orderBy(F.desc("rho"), "variant_id").limit(10), "rho")
 
@@ -566,8 +568,7 @@ def by_sample(spark, d):
     return rows.select("sample_id", F.array(*[F.col(f"`{v}`") for v in range(V.N_VARIANTS)]).alias("dosage"))
 
 
-@query("m2_linear_scan")
-def m2(spark, d):
+def linear(spark, d):
     from ..operators.association import scan
 
     variants, samples = matrix(spark, d)
@@ -575,6 +576,23 @@ def m2(spark, d):
     return scan(variants, s.y.to_numpy(), s[["nation"]].to_numpy(float), "linear")
 
 
+#: Regression on a variant and one covariate from centred sums; the two-sided p of t by Simpson's rule over the angle whose tangent is t / sqrt(df).
+REGRESSION = """, j AS (SELECT variant_id, CAST(dosage AS DOUBLE) AS x, CAST(nation AS DOUBLE) AS z, y FROM geno JOIN pheno USING (sample_id)),
+    s AS (SELECT variant_id, count(*) AS n, regr_sxx(y, x) AS xx, regr_sxx(y, z) AS zz, regr_sxy(x, z) AS xz, regr_sxy(y, x) AS xy, regr_sxy(y, z) AS zy, regr_syy(y, x) AS yy FROM j GROUP BY 1),
+    b AS (SELECT *, n - 3 AS df, (xy * zz - xz * zy) / (xx * zz - xz * xz) AS effect, (zy * xx - xz * xy) / (xx * zz - xz * xz) AS other FROM s),
+    e AS (SELECT *, sqrt((yy - effect * xy - other * zy) / df / (xx - xz * xz / zz)) AS se FROM b),
+    t AS (SELECT *, effect / se AS stat, atan(abs(effect / se) / sqrt(df)) AS angle FROM e),
+    r AS (SELECT *, 1 - 2 * exp(lgamma((df + 1) / 2.0) - lgamma(df / 2.0)) / sqrt(pi()) * angle / 6000
+          * list_sum(list_transform(range(0, 2001), lambda i: CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(cos(angle * i / 2000), df - 1))) AS p FROM t)"""
+
+
+@query("m2_linear_scan", with_views("geno pheno", REGRESSION + """, k AS (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p) AS rn FROM r)
+    SELECT CAST(variant_id AS VARCHAR) AS variant, 'ok' AS status, n, CAST(df AS DOUBLE) AS df, round(effect, 4) AS effect, round(se, 4) AS se, round(stat, 6) AS stat, round(p, 6) AS p, round(least(p * m, 1.0), 6) AS bonferroni, round(least(1.0, min(p * m / rn) OVER (ORDER BY rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS fdr_bh FROM k"""))
+def m2(spark, d):
+    found = linear(spark, d).select("variant", "status", F.col("n").cast("long").alias("n"), F.col("df").cast("double").alias("df"), F.round("effect", 4).alias("effect"), F.round("se", 4).alias("se"), "stat", "p", "bonferroni", "fdr_bh")
+    return rounded(found, "stat", "p", "bonferroni", "fdr_bh")
+
+
 @query("m3_logistic_scan")
 def m3(spark, d):
     from ..operators.association import scan
@@ -584,11 +602,26 @@ def m3(spark, d):
     return scan(variants, s.case.to_numpy(float), s[["nation"]].to_numpy(float), "auto")
 
 
-@query("m5_consistency_check")
+@query("m5_consistency_check", "SELECT CAST(NULL AS VARCHAR) AS variant, CAST(NULL AS VARCHAR) AS problem WHERE false")
 def m5(spark, d):
     from ..operators.association import inconsistencies
 
-    return inconsistencies(m2(spark, d))
+    return inconsistencies(linear(spark, d))
+
+
+@query(
+    "m5_consistency_refuses",
+    with_views("geno", """, v AS (SELECT DISTINCT variant_id FROM geno)
+    SELECT CAST(variant_id AS VARCHAR) AS variant, 'stat != effect/se' AS problem FROM v WHERE variant_id % 7 = 0 UNION ALL SELECT CAST(variant_id AS VARCHAR), 'p-value not derived from effect/se/df' FROM v WHERE variant_id % 5 = 0
+    UNION ALL SELECT CAST(variant_id AS VARCHAR), 'CI not derived from effect/se/df' FROM v WHERE variant_id % 3 = 0"""),
+)
+def m5_refuses(spark, d):
+    """Results of which some are made wrong."""
+    from ..operators.association import inconsistencies
+
+    k = F.col("variant").cast("long")
+    wrong = {"stat": F.when(k % 7 == 0, F.col("stat") * 1.01).otherwise(F.col("stat")), "p": F.when(k % 5 == 0, F.col("p") * 0.99).otherwise(F.col("p")), "ci_high": F.when(k % 3 == 0, F.col("ci_high") + F.col("se")).otherwise(F.col("ci_high"))}
+    return inconsistencies(linear(spark, d).withColumns(wrong))
 
 
 def intervals(spark, d):
@@ -626,7 +659,18 @@ def m16(spark, d):
     return projected_components(by_sample(spark, d), 5)[0]
 
 
-@query("m18_ld_prune")
+def walked(group: str, order: str) -> str:
+    """The walk that keeps a variant if none kept before it in its group has r2 above 0.002 with it, missing values at the mean."""
+    return with_views("geno pheno", f""", m AS (SELECT variant_id, avg(dosage) AS mean FROM geno GROUP BY 1),
+    f AS (SELECT p.sample_id, m.variant_id, coalesce(g.dosage, mean) AS x FROM pheno p CROSS JOIN m LEFT JOIN geno g ON g.sample_id = p.sample_id AND g.variant_id = m.variant_id),
+    o AS (SELECT variant_id AS v, {group} AS c, row_number() OVER (PARTITION BY {group} ORDER BY {order}) AS i FROM m),
+    r AS (SELECT a.variant_id AS a, b.variant_id AS b, pow(corr(a.x, b.x), 2) AS r2 FROM f a JOIN f b ON a.sample_id = b.sample_id JOIN o x ON x.v = a.variant_id JOIN o y ON y.v = b.variant_id AND x.c = y.c AND x.i < y.i GROUP BY 1, 2),
+    bad AS (SELECT b AS v, list(a) AS l FROM r WHERE r2 > 0.002 GROUP BY 1), s AS (SELECT o.*, coalesce(l, []) AS l FROM o LEFT JOIN bad USING (v)),
+    w AS (SELECT DISTINCT c, 0::BIGINT AS i, []::BIGINT[] AS kept FROM s UNION ALL SELECT s.c, s.i, CASE WHEN len(list_intersect(w.kept, s.l)) = 0 THEN list_append(w.kept, s.v) ELSE w.kept END FROM w JOIN s ON s.c = w.c AND s.i = w.i + 1),
+    k AS (SELECT c, unnest(kept) AS v FROM (SELECT c, arg_max(kept, i) AS kept FROM w GROUP BY 1))""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("m18_ld_prune", walked("variant_id % 3", "variant_id") + " SELECT CAST(c AS VARCHAR) AS chrom, CAST(v AS VARCHAR) AS variant, v AS pos FROM k")
 def m18(spark, d):
     from ..operators.structure import ld_prune
 
@@ -634,7 +678,7 @@ def m18(spark, d):
     return ld_prune(variants.select((F.col("variant").cast("int") % 3).cast("string").alias("chrom"), "variant", F.col("variant").cast("long").alias("pos"), "dosage"), 50, 0.002)
 
 
-@query("m19_ld_clump")
+@query("m19_ld_clump", walked("variant_id % 5", "variant_id * 7919 % 103, CAST(variant_id AS VARCHAR)") + " SELECT CAST(c AS INTEGER) AS gene_id, CAST(v AS VARCHAR) AS variant FROM k")
 def m19(spark, d):
     from ..operators.structure import ld_clump
 
@@ -650,7 +694,8 @@ def expression(spark, d):
     genotypes = variants.select((k % 5).cast("string").alias("chrom"), (k * 1000).alias("pos"), F.col("variant").alias("variant_id"), filled.alias("dosage"))
     n = samples.count()
     noise = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: (F.pmod(F.xxhash64(F.col("id"), i), F.lit(1000)) / 500.0) - 1.0)
-    genes = spark.range(10).select("id", F.concat(F.lit("g"), F.col("id").cast("string")).alias("gene_id"), (F.col("id") % 5).cast("string").alias("chrom"), (F.col("id") * 5000).alias("tss"))
+    k = F.col("gene_id")
+    genes = V.genes(spark, d).select(k.alias("id"), F.concat(F.lit("g"), k.cast("string")).alias("gene_id"), (k % 5).cast("string").alias("chrom"), (k % 10 * 5000).alias("tss"))
     return genes.select("gene_id", noise.alias("y")), genes.select("gene_id", "chrom", "tss"), genotypes
 
 
@@ -673,12 +718,18 @@ def m25(spark, d):
     return predicted_expression(weights, alleles, g, window=100_000).select("gene_id", "n_weights", "n_snps_in_score", F.round(F.aggregate("score", F.lit(0.0), lambda a, b: a + b), 4).alias("total"))
 
 
-@query("w11_blocked_folds", with_views("pheno", "SELECT nation AS lineage, count(*) AS n FROM pheno GROUP BY 1").replace("SELECT nation AS lineage, count(*) AS n FROM pheno GROUP BY 1", " SELECT CAST(nation AS VARCHAR) AS lineage, count(*) AS n FROM pheno GROUP BY 1"))
+@query(
+    "w11_blocked_folds",
+    with_views("pheno", """, o AS (SELECT lineage, n, row_number() OVER (ORDER BY n DESC, lineage) AS i FROM (SELECT CAST(nation AS VARCHAR) AS lineage, count(*) AS n FROM pheno GROUP BY 1)),
+    r AS (SELECT 0::BIGINT AS i, [0, 0, 0, 0, 0]::BIGINT[] AS t, '' AS lineage, 0::BIGINT AS n, -1::BIGINT AS fold
+          UNION ALL SELECT o.i, list_transform(range(1, 6), lambda k: t[k] + CASE WHEN k = list_position(t, list_min(t)) THEN o.n ELSE 0 END), o.lineage, o.n, list_position(t, list_min(t)) - 1 FROM r JOIN o ON o.i = r.i + 1)
+    SELECT lineage, n, CAST(fold AS INTEGER) AS fold FROM r WHERE i > 0""").replace("WITH ", "WITH RECURSIVE ", 1),
+)
 def w11(spark, d):
     from ..operators.prediction import blocked_folds
 
     rows = V.pheno(spark, d).select(F.col("nation").cast("string").alias("lineage"))
-    return rows.join(F.broadcast(blocked_folds(rows, "lineage", 5)), "lineage").groupBy("lineage").agg(F.count("fold").alias("n"))
+    return rows.groupBy("lineage").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(blocked_folds(rows, "lineage", 5)), "lineage")
 
 
 @query("m12_nested_blocked_cv")
@@ -696,11 +747,11 @@ def m12(spark, d):
 
 
 def points(spark, d):
-    """A study: every fifth sample, its nation as label, and two numbers."""
-    return V.pheno(spark, d).filter("sample_id % 5 = 0").select(F.col("sample_id").alias("id"), (F.col("nation") % 3).alias("label"), F.array(F.col("y"), F.col("nation") * 10.0).alias("v"))
+    """Samples with their nation as label, and two numbers."""
+    return V.pheno(spark, d).select(F.col("sample_id").alias("id"), (F.col("nation") % 3).alias("label"), F.array(F.col("y"), F.col("nation") * 10.0).alias("v"))
 
 
-POINTS = ", p AS (SELECT sample_id AS id, nation % 3 AS label, y AS a, nation * 10.0 AS b FROM pheno WHERE sample_id % 5 = 0), d AS (SELECT p.id, p.label, q.label AS other, q.id AS oid, sqrt((p.a - q.a) * (p.a - q.a) + (p.b - q.b) * (p.b - q.b)) AS d FROM p, p q WHERE p.id <> q.id)"
+POINTS = ", p AS (SELECT sample_id AS id, nation % 3 AS label, y AS a, nation * 10.0 AS b FROM pheno), d AS (SELECT p.id, p.label, q.label AS other, q.id AS oid, sqrt((p.a - q.a) * (p.a - q.a) + (p.b - q.b) * (p.b - q.b)) AS d FROM p, p q WHERE p.id <> q.id)"
 
 
 @query("m32_silhouette", with_views("pheno", POINTS + ", m AS (SELECT id, label, other, avg(d) AS d FROM d GROUP BY 1, 2, 3), s AS (SELECT id, max(d) FILTER (label = other) AS a, min(d) FILTER (label <> other) AS b FROM m GROUP BY 1) SELECT round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM s"))

@@ -53,17 +53,26 @@ def j11(spark, d):
     return V.pheno(spark, d).select("sample_id").join(V.geno(spark, d).filter("variant_id = 3"), "sample_id", "left_anti")
 
 
-@query("j15_leakage_guard", with_views("pheno", " SELECT count(*) AS shared FROM (SELECT sample_id FROM pheno WHERE sample_id % 2 = 0 INTERSECT SELECT sample_id FROM pheno WHERE sample_id % 2 = 1)"))
+def refuses(guard, *given) -> bool:
+    try:
+        guard(*given)
+    except (ValueError, RuntimeError):
+        return True
+    return False
+
+
+@query("j15_leakage_guard", with_views("pheno", """ SELECT 'cases and others' AS cohorts, count(*) > 0 AS refused FROM (SELECT sample_id FROM pheno WHERE case_flag INTERSECT SELECT sample_id FROM pheno WHERE NOT case_flag)
+    UNION ALL SELECT 'cases and nation 4', count(*) > 0 FROM (SELECT sample_id FROM pheno WHERE case_flag INTERSECT SELECT sample_id FROM pheno WHERE nation = 4)"""))
 def j15(spark, d):
-    a, b = (V.pheno(spark, d).filter(f"sample_id % 2 = {k}") for k in (0, 1))
-    joins.disjoint_or_refuse(a, b, "sample_id")
-    return a.select("sample_id").intersect(b.select("sample_id")).agg(F.count(F.lit(1)).alias("shared"))
+    p = V.pheno(spark, d)
+    rows = [(name, refuses(joins.disjoint_or_refuse, p.filter("case_flag"), p.filter(other), "sample_id")) for name, other in (("cases and others", "not case_flag"), ("cases and nation 4", "nation = 4"))]
+    return spark.createDataFrame(rows, "cohorts string, refused boolean")
 
 
-@query("j16_common_features", with_views("geno", " SELECT DISTINCT variant_id FROM geno WHERE sample_id % 7 = 0 AND dosage = 2 INTERSECT SELECT DISTINCT variant_id FROM geno WHERE sample_id % 7 = 1 AND dosage = 2"))
+@query("j16_common_features", with_views("geno pheno", " SELECT variant_id FROM geno JOIN pheno USING (sample_id) WHERE case_flag AND dosage = 2 INTERSECT SELECT variant_id FROM geno JOIN pheno USING (sample_id) WHERE NOT case_flag AND dosage = 2"))
 def j16(spark, d):
-    side = lambda k: V.geno(spark, d).filter(f"sample_id % 7 = {k} and dosage = 2").select("variant_id").distinct()
-    return side(0).join(side(1), "variant_id")
+    cells = V.geno(spark, d).filter("dosage = 2").join(V.pheno(spark, d).select("sample_id", "case_flag"), "sample_id")
+    return cells.filter("case_flag").select("variant_id").intersect(cells.filter("not case_flag").select("variant_id"))
 
 
 @query("j18_lookup_map", with_views("population", " SELECT sample_id, CASE pop WHEN 'EUROPE' THEN 'EUR' WHEN 'AFRICA' THEN 'YRI' END AS grp FROM population"))
@@ -143,11 +152,11 @@ def e20(spark, d):
     return V.geno(spark, d).select("variant_id", v.alias("v")).groupBy("variant_id").agg(((F.count("v") > 0) & F.bool_and(F.col("v").isin(0, 1))).alias("binary"))
 
 
-@query("e24_mean_imputation", with_views("geno pheno", ", m AS (SELECT variant_id, avg(dosage) AS mean FROM geno GROUP BY 1) SELECT p.sample_id, m.variant_id, round(coalesce(g.dosage, mean), 6) AS dosage FROM pheno p CROSS JOIN m LEFT JOIN geno g ON g.sample_id = p.sample_id AND g.variant_id = m.variant_id WHERE m.variant_id < 5"))
+@query("e24_mean_imputation", with_views("geno pheno", ", m AS (SELECT variant_id, avg(dosage) AS mean FROM geno GROUP BY 1) SELECT p.sample_id, m.variant_id, round(coalesce(g.dosage, mean), 6) AS dosage FROM pheno p CROSS JOIN m LEFT JOIN geno g ON g.sample_id = p.sample_id AND g.variant_id = m.variant_id"))
 def e24(spark, d):
-    cells = V.geno(spark, d).filter("variant_id < 5")
+    cells = V.geno(spark, d)
     means = cells.groupBy("variant_id").agg(F.avg("dosage").alias("mean"))
-    grid = V.pheno(spark, d).select("sample_id").crossJoin(F.broadcast(means))  # five rows: every cell of five variants is asked for
+    grid = V.pheno(spark, d).select("sample_id").crossJoin(F.broadcast(means))  # a row a variant: every cell is asked for
     return grid.join(cells, ["sample_id", "variant_id"], "left").select("sample_id", "variant_id", F.round(F.coalesce(F.col("dosage").cast("double"), "mean"), 6).alias("dosage"))
 
 
@@ -157,15 +166,30 @@ def e25(spark, d):
     return V.variant_meta(spark, d).withColumn("gap", gap).groupBy("chrom").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), (F.min("gap") > 0).alias("increasing"))
 
 
-@query("e27_claim_wording", "SELECT p_partkey AS claim, regexp_matches(p_name, '(?i)\\b(caus\\w*|treat\\w*|b\\w+e)\\b') AS flagged FROM part")
+#: Claims of which some break a rule, by remainder.
+CLAIMS = (
+    "Associated with higher values", "This gene causes resistance", "A new marker of the phenotype", "It is associated and predictive", "The effect is driven by this feature", "Kept by a predictive model",
+    "Annotation of a pathway", "Proven in the laboratory", "Used for therapy", "Associated after lineage adjustment", "Plausible and therefore associated", "Nothing is established",
+)
+_TEXT = f"(SELECT p_partkey AS claim, [{', '.join(repr(c) for c in CLAIMS)}][CAST(p_partkey % {len(CLAIMS)} AS INTEGER) + 1] AS t FROM part)"
+
+
+@query(
+    "e27_claim_wording",
+    f"SELECT claim, regexp_matches(t, '{evidence.CAUSAL}') AS causal, regexp_matches(t, '{evidence.NOVEL}') AS novel, regexp_matches(t, '{evidence.ADJUSTED}') AS adjusted, "
+    + " + ".join(f"CAST(regexp_matches(t, '{p}') AS INTEGER)" for p in evidence.KINDS.values())
+    + f" AS kinds FROM {_TEXT}",
+)
 def e27(spark, d):
-    return V.read(spark, d, "part").select(F.col("p_partkey").alias("claim"), F.col("p_name").rlike(r"(?i)\b(caus\w*|treat\w*|b\w+e)\b").alias("flagged"))
+    k = F.col("p_partkey")
+    t = F.get(F.array(*[F.lit(c) for c in CLAIMS]), (k % len(CLAIMS)).cast("int"))
+    return V.read(spark, d, "part").select(k.alias("claim"), t.rlike(evidence.CAUSAL).alias("causal"), t.rlike(evidence.NOVEL).alias("novel"), t.rlike(evidence.ADJUSTED).alias("adjusted"), evidence.kinds_in(t).alias("kinds"))
 
 
-@query("set_union_of_lists", with_views("geno", " SELECT variant_id FROM geno WHERE sample_id % 50 = 0 UNION SELECT variant_id FROM geno WHERE sample_id % 50 = 1"))
+@query("set_union_of_lists", with_views("geno pheno", " SELECT variant_id FROM geno JOIN pheno USING (sample_id) WHERE case_flag UNION SELECT variant_id FROM geno JOIN pheno USING (sample_id) WHERE NOT case_flag"))
 def set_union(spark, d):
-    side = lambda k: V.geno(spark, d).filter(f"sample_id % 50 = {k}").select("variant_id")
-    return side(0).union(side(1)).distinct()
+    cells = V.geno(spark, d).join(V.pheno(spark, d).select("sample_id", "case_flag"), "sample_id")
+    return cells.filter("case_flag").select("variant_id").union(cells.filter("not case_flag").select("variant_id")).distinct()
 
 
 @query("set_intersection", with_views("pvals genes", " SELECT variant AS id FROM pvals WHERE p < 0.5 INTERSECT SELECT gene_id FROM genes"))
@@ -203,21 +227,100 @@ def v4(spark, d):
     return rounded(spark.createDataFrame([(out["n_pairs"], out["same_direction"], out["status"])], "n_pairs long, same_direction double, status string"), "same_direction")
 
 
-@query("v10_separation_guard", with_views("cohort_records", " SELECT count(*) AS n FROM (SELECT DISTINCT genome_id FROM cohort_records)"))
+@query("v10_separation_guard", with_views("cohort_records", """, g AS (SELECT genome_id, count(*) AS n, min(CASE record_tier WHEN 'discovery' THEN 1 WHEN 'replication' THEN 2 ELSE 3 END) AS t FROM cohort_records GROUP BY 1)
+    SELECT 'a row a genome' AS given, false AS refused UNION ALL SELECT 'all records', max(n) > 1 FROM g UNION ALL SELECT 'all in discovery', count(*) FILTER (t <> 1) > 0 FROM g"""))
 def v10(spark, d):
-    kept = V.cohort_records(spark, d).groupBy("genome_id").agg(F.min(cohorts.tier_rank(F.col("record_tier"))).alias("t"))
-    kept = kept.select("genome_id", F.lit("1").alias("study_pmid"), F.get(F.array(*[F.lit(t) for t in cohorts.TIERS]), (F.col("t") - 1).cast("int")).alias("cohort_tier"))
-    cohorts.require_separation(kept)
-    return kept.agg(F.count(F.lit(1)).alias("n"))
+    tier = lambda t: F.get(F.array(*[F.lit(x) for x in cohorts.TIERS]), (F.col(t) - 1).cast("int"))
+    records = V.cohort_records(spark, d).select("genome_id", F.lit("1").alias("study_pmid"), cohorts.tier_rank(F.col("record_tier")).alias("t"))
+    kept = records.groupBy("genome_id", "study_pmid").agg(F.min("t").alias("t")).withColumn("cohort_tier", tier("t"))
+    given = {"a row a genome": (kept,), "all records": (records.withColumn("cohort_tier", tier("t")),), "all in discovery": (kept, {"1": "discovery"})}
+    return spark.createDataFrame([(name, refuses(cohorts.require_separation, *x)) for name, x in given.items()], "given string, refused boolean")
+
+
+#: For each remainder what is wrong with the card, and the problems that this gives.
+WRONG: list[tuple[dict, str]] = [
+    ({}, ""),
+    ({"causal_status": "experimentally_supported"}, "causal_status and experimental_evidence disagree"),
+    ({"extra_keys": ["final_priority_score"]}, "a composite score or rank"),
+    ({"scope": "synthetic"}, "synthetic data allow the disclaimer alone"),
+    ({"allowed_claims": ["Proven in the laboratory"]}, "causal or clinical words without experiment"),
+    ({"allowed_claims": ["A new marker of the phenotype"]}, "a novel determinant"),
+    ({"allowed_claims": ["A determinant"]}, "determinant said of a feature that isn't in the answer key"),
+    ({"allowed_claims": ["A plausible feature that is associated"]}, "two kinds of evidence in one claim"),
+    ({"allowed_claims": ["A lineage-adjusted effect"], "adjusted_significant": False}, "adjustment claimed that wasn't made or didn't hold"),
+    ({"allowed_claims": ["Importance in a model"], "cv_strategy": "random_split"}, "prediction claimed without blocked validation"),
+    ({"cohort_tier": "replication"}, "association claimed outside discovery"),
+    ({"forbidden_claims": ["S/I/R calls"]}, "causal claims aren't forbidden"),
+    ({"forbidden_claims": ["Causal claims"]}, "class claims aren't forbidden"),
+    ({"cohort_tier": "other"}, "schema: cohort_tier has an unknown value"),
+    ({"allowed_claims": None}, "schema: allowed_claims is missing"),
+    ({"forbidden_claims": [], "cohort_tier": "replication"}, "association claimed outside discovery;causal claims aren't forbidden;class claims aren't forbidden"),
+    ({"scope": "synthetic", "allowed_claims": [evidence.DISCLAIMER]}, ""),
+]
+GOOD = {
+    "scope": "real", "causal_status": "not_established", "in_answer_key": False, "lineage_adjusted": True, "adjusted_significant": True, "cv_strategy": "nested_lineage_blocked", "cohort_tier": "discovery",
+    "breakpoint_status": "UNVERIFIED", "experimental_evidence": [], "allowed_claims": ["Associated with higher values"], "forbidden_claims": ["Causal claims", "S/I/R calls"], "extra_keys": [],
+}
+
+
+@query("v13_evidence_rules", "SELECT CAST(p_partkey AS VARCHAR) AS card_id, [" + ", ".join("'" + p.replace("'", "''") + "'" for _, p in WRONG) + f"][CAST(p_partkey % {len(WRONG)} AS INTEGER) + 1] AS problems FROM part")
+def v13(spark, d):
+    kinds = dict(c.split(" ") for c in evidence.CARD.split(", "))
+    made = spark.createDataFrame([(i, *(GOOD | wrong).values()) for i, (wrong, _) in enumerate(WRONG)], "at int, " + ", ".join(f"{c} {kinds[c]}" for c in GOOD))
+    cards = V.read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("card_id"), (F.col("p_partkey") % len(WRONG)).cast("int").alias("at")).join(F.broadcast(made), "at")  # a row a kind of card
+    return evidence.problems(cards).select("card_id", F.concat_ws(";", "problems").alias("problems"))
 
 
-@query("v13_evidence_rules", "SELECT CAST(p_partkey AS VARCHAR) AS card_id, CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 0 END AS n_problems FROM part")
-def v13(spark, d):
-    k = F.col("p_partkey")
-    text = lambda x: F.array(F.lit(x))
-    cards = V.read(spark, d, "part").select(
-        k.cast("string").alias("card_id"), F.lit("real").alias("scope"), F.lit("association_only").alias("causal_status"), F.lit(False).alias("in_answer_key"), F.lit(True).alias("lineage_adjusted"), F.lit(True).alias("adjusted_significant"),
-        F.lit("nested_lineage_blocked").alias("cv_strategy"), F.when(k % 5 == 0, "replication").otherwise("discovery").alias("cohort_tier"), F.lit("VERIFIED").alias("breakpoint_status"), F.array().cast("array<string>").alias("experimental_evidence"),
-        text("Associated with higher values").alias("allowed_claims"), F.when(k % 3 == 0, text("Nothing")).otherwise(text("Causal claims")).alias("forbidden_claims"), F.array().cast("array<string>").alias("extra_keys"),
-    )
-    return evidence.problems(cards).select("card_id", F.size("problems").alias("n_problems"))
+@query(
+    "v13_built_cards",
+    with_views("pvals", """ SELECT CAST(variant AS VARCHAR) AS card_id, p <= 0.05 AND variant % 2 = 0 AS adjusted_significant, CASE variant % 5 WHEN 0 THEN 'target_site_mutation' WHEN 1 THEN 'horizontal_gene' ELSE 'unknown' END AS plausible_role,
+        1 + CAST(variant % 3 = 0 AND p <= 0.05 AND variant % 2 = 0 AS INTEGER) + CAST(variant % 4 = 0 AS INTEGER) + CAST(variant % 5 < 2 AS INTEGER) AS n_allowed, 2 + CAST(variant % 5 <> 0 AS INTEGER) AS n_forbidden, 2 + CAST(variant % 3 <> 0 AS INTEGER) AS n_missing FROM pvals"""),
+)
+def v13_built(spark, d):
+    """A card for each variant, of which all have passed the rules."""
+    k = F.col("variant")
+    hits = V.pvals(spark, d).select(k.alias("feature_id"), F.lit(0.5).alias("effect"), F.lit(0.1).alias("se"), "p", F.col("p").alias("q_value"), F.lit(5.0).alias("z"), (k % 2 == 0).alias("lineage_adjusted"), F.lit(10).alias("n_present"), F.lit(100).alias("n"))
+    of = F.col("feature_id")
+    noted = hits.filter(of % 5 < 2).select("feature_id", F.when(of % 5 == 0, "target").otherwise("gene").alias("role"), (of % 5 == 0).alias("in_answer_key"))
+    modelled = hits.select("feature_id", F.when(of % 4 == 0, "nested_lineage_blocked").otherwise("random_split").alias("cv_strategy"), F.lit(0.8).alias("auc"))
+    again = hits.filter(of % 3 == 0).select("feature_id", F.lit(True).alias("replicated"))
+    cards = evidence.build_cards(hits.withColumn("q_value", F.when(F.col("p") <= 0.05, 0.01).otherwise(0.5)), {"scope": "real", "cohort_tier": "discovery", "breakpoint_status": "UNVERIFIED"}, noted, modelled, again)
+    return cards.select("card_id", "adjusted_significant", F.col("biological_plausibility.plausible_role").alias("plausible_role"), F.size("allowed_claims").alias("n_allowed"), F.size("forbidden_claims").alias("n_forbidden"), F.size("evidence_missing").alias("n_missing"))
+
+
+@query("m24_covariates", with_views("pheno", " SELECT sample_id, y AS PC1, nation * 1.0::DOUBLE AS PC2, CAST(nation % 2 AS DOUBLE) AS imputed FROM pheno WHERE case_flag"))
+def m24(spark, d):
+    from ..operators.studies import covariates
+
+    p = V.pheno(spark, d)
+    parts = p.select("sample_id", F.col("y").alias("PC1"), F.col("nation").cast("double").alias("PC2"), F.lit(0.0).alias("PC3"))
+    return covariates(p.filter("case_flag"), parts, 2, p.select("sample_id", (F.col("nation") % 2).alias("imputed")))
+
+
+@query("m27_polygenic_score", with_views("geno pheno", """, m AS (SELECT variant_id, avg(dosage) AS mean FROM geno GROUP BY 1), w AS (SELECT variant_id, mean, (variant_id % 7 - 3) / 10.0::DOUBLE AS weight FROM m WHERE variant_id % 3 <> 0)
+    SELECT p.sample_id, round(sum(weight * coalesce(g.dosage, mean)), 6) AS score FROM pheno p CROSS JOIN w LEFT JOIN geno g ON g.sample_id = p.sample_id AND g.variant_id = w.variant_id GROUP BY 1"""))
+def m27(spark, d):
+    from ..operators.studies import chosen_weights, polygenic_scores
+
+    k = F.col("variant")
+    results = V.geno(spark, d).select(F.col("variant_id").alias("variant")).distinct().select("variant", ((k % 7 - 3) / 10.0).alias("effect"), F.when(k % 3 == 0, 0.5).otherwise(0.01).alias("p"), F.lit("ok").alias("status"))
+    return rounded(polygenic_scores(V.geno(spark, d).withColumnRenamed("variant_id", "variant"), V.pheno(spark, d), chosen_weights(results, 0.05)), "score")
+
+
+@query("a23_class_report", with_views("pheno", """, c AS (SELECT CAST(case_flag AS INTEGER) AS t, CAST(y > 4500 AS INTEGER) AS p FROM pheno), k AS (SELECT DISTINCT unnest([t, p]) AS class FROM c),
+    r AS (SELECT class, count(*) FILTER (t = class) AS support, count(*) FILTER (p = class) AS said, count(*) FILTER (t = class AND p = class) AS hit FROM c, k GROUP BY 1)
+    SELECT class, round(hit / said::DOUBLE, 6) AS precision, round(hit / support::DOUBLE, 6) AS recall, round(2.0 * hit / (said + support), 6)::DOUBLE AS f1, support, round((SELECT avg(CAST(t = p AS DOUBLE)) FROM c), 6) AS accuracy, round((SELECT avg(hit / support::DOUBLE) FROM r), 6) AS balanced_accuracy FROM r"""))
+def a23_report(spark, d):
+    from ..operators.studies import class_report
+
+    rows = V.pheno(spark, d).select(F.col("case_flag").cast("int").alias("label"), (F.col("y") > 4500).cast("int").alias("predicted"))
+    return rounded(class_report(rows), "precision", "recall", "f1", "accuracy", "balanced_accuracy")
+
+
+@query("x10_alt_counted", "SELECT 'as exported' AS given, false AS refused UNION ALL SELECT 'some count REF', count(*) FILTER (p_size = 7) > 0 FROM part")
+def x10(spark, d):
+    from ..sources.readers import alt_counted
+
+    rows = V.read(spark, d, "part").select(F.col("p_partkey").alias("variant"), "p_size", F.lit("A").alias("ref"), F.lit("G").alias("alt"))
+    given = {"as exported": F.lit("G"), "some count REF": F.when(F.col("p_size") == 7, "A").otherwise("G")}
+    return spark.createDataFrame([(name, refuses(alt_counted, rows.select("variant", allele.alias("counted_allele")), rows)) for name, allele in given.items()], "given string, refused boolean")

@@ -155,22 +155,69 @@ def read_pages(spark: SparkSession, path: str, names: dict[str, str]) -> DataFra
     return out.withColumnsRenamed({a: b for a, b in names.items() if a in out.columns and b not in out.columns})
 
 
-def fetch_pages(get, folder: str, page_size: int, most: int = 10_000) -> list[dict]:
-    """Pages that get(offset, size) gives as lists, each landed as a file; landed pages aren't fetched again, and the first short page is the last."""
+def landed(target: Path, get) -> list[dict]:
+    """The records of a landed file; where there is none yet, those of get() land first, whole or not at all."""
+    if not target.exists():
+        part = target.with_suffix(".part")
+        part.write_text(json.dumps(get()))
+        part.replace(target)
+    return json.loads(target.read_bytes())
+
+
+def fetch_pages(get, folder: str, page_size: int, most: int | None = None) -> list[dict]:
+    """Pages that get(offset, size) gives as lists, each landed as a file; landed pages aren't fetched again, and the first short page is the last.
+
+    most: pages after which a source that gives no short one is refused.
+    """
     root, log = Path(folder), []
     root.mkdir(parents=True, exist_ok=True)
-    for i in range(most):
+    while True:
+        i = len(log)
+        if most is not None and i >= most:
+            raise PrepError(f"no end after {most} pages of {page_size}")
         target = root / f"page_{i:05d}.json"
-        if not target.exists():
-            part = target.with_suffix(".part")
-            part.write_text(json.dumps(get(i * page_size, page_size)))
-            part.replace(target)
-        data = target.read_bytes()
-        n = len(json.loads(data))
-        log.append({"page": i, "rows": n, "sha256": hashlib.sha256(data).hexdigest()})
+        n = len(landed(target, lambda: get(i * page_size, page_size)))  # noqa: B023
+        log.append({"page": i, "rows": n, "sha256": hashlib.sha256(target.read_bytes()).hexdigest()})
         if n < page_size:
-            break
-    return log
+            return log
+
+
+def fetch_metadata(ids: list[str], folder: str, get=None, batch: int = 200) -> list[str]:
+    """Files of the metadata of genomes, a batch of sorted ids each, which get(ids) gives as a list of records.
+
+    Landed batches aren't fetched again. Without get a batch that hasn't landed is refused. read_pages reads the files.
+    """
+    root, own, out = Path(folder), sorted(set(map(str, ids))), []
+    root.mkdir(parents=True, exist_ok=True)
+    for i in range(0, len(own), batch):
+        target = root / f"metadata_{i // batch:05d}.json"
+        if get is None and not target.exists():
+            raise PrepError(f"{target.name} has not landed and may not be fetched")
+        landed(target, lambda: get(own[i : i + batch]))  # noqa: B023
+        out.append(str(target))
+    return out
+
+
+def read_imputation(spark: SparkSession, path: str) -> DataFrame:
+    """sample_id, imputed of a table without header whose two columns are parted by blanks, tabs or commas."""
+    found = split_table(spark, path, ["sample_id", "imputed"], r"[\s,;]+").select("sample_id", F.col("imputed").try_cast("int").alias("imputed"))
+    if not found.filter("imputed is null or imputed not in (0, 1)").isEmpty():
+        raise PrepError(f"imputation status in {path} is 0 or 1")
+    return found
+
+
+def alt_counted(counted: DataFrame, pvar: DataFrame) -> DataFrame:
+    """variant, counted_allele, other_allele: refuses an export that counts another allele than ALT, or a variant pvar lacks.
+
+    counted: variant, counted_allele; pvar: variant, ref, alt, of which the first row of a variant holds.
+    """
+    first = pvar.groupBy("variant").agg(F.first("ref").alias("ref"), F.first("alt").alias("alt"))
+    both = counted.join(first, "variant", "left")
+    bad = both.filter(~F.col("counted_allele").eqNullSafe(F.col("alt")))
+    some = [r[0] for r in bad.select("variant").orderBy("variant").limit(3).collect()]
+    if some:
+        raise PrepError(f"the counted allele isn't ALT for {bad.count()} variants such as {some}")
+    return both.select("variant", "counted_allele", F.col("ref").alias("other_allele"))
 
 
 def point_mutations(spark: SparkSession, path: str) -> DataFrame:
