@@ -796,7 +796,7 @@ def m23(spark, d):
     from ..operators.eqtl import permuted_inflation
 
     e, g, v = expression(spark, d)
-    return permuted_inflation(e, g, v, sizes(spark, d)[0], n=2, window=20_000)
+    return permuted_inflation(e, g, v, n=2, window=20_000)
 
 
 @query("m26_score_evaluation")

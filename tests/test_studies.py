@@ -112,3 +112,26 @@ def test_synthetic_cards_say_nothing(spark):
     hits = spark.createDataFrame([("f", 1.0, 0.1, 1e-9, 1e-8, 10.0, True, 5, 50)], "feature_id string, effect double, se double, p double, q_value double, z double, lineage_adjusted boolean, n_present long, n long")
     made = evidence.build_cards(hits, {"scope": "synthetic", "cohort_tier": "discovery", "breakpoint_status": "VERIFIED"}).first()
     assert made.allowed_claims == [evidence.DISCLAIMER] and made.frequency == 0.1 and json.loads(json.dumps(made.evidence_missing)) == ["independent replication", "experiment"]
+
+
+def test_permuted_inflation_equals_one_computed_apart(spark):
+    from helixframe.functions.dist import CHI2_1_MEDIAN, chi2_1_isf, t_two_sided
+    from helixframe.operators import eqtl
+
+    rng, n = np.random.default_rng(3), 60
+    y, g = rng.normal(size=(3, n)), rng.integers(0, 3, (5, n)).astype(float)
+    expression = spark.createDataFrame([(f"g{i}", v.tolist()) for i, v in enumerate(y)], "gene_id string, y array<double>")
+    genes = spark.createDataFrame([(f"g{i}", "1", 1000) for i in range(3)], "gene_id string, chrom string, tss long")
+    variants = spark.createDataFrame([(f"v{i}", "1", 1000 + i, v.tolist()) for i, v in enumerate(g)], "variant_id string, chrom string, pos long, dosage array<double>")
+    places = spark.createDataFrame([(list(map(float, range(n))),), (list(map(float, range(n))),)], "y array<double>")
+    orders = []
+    for draw in range(2):
+        alike = [r[0] for r in places.select(eqtl.shuffled("y", 0, draw)).collect()]
+        assert alike[0] == alike[1] and sorted(alike[0]) == list(range(n))
+        orders.append(np.array(alike[0], int))
+    assert (orders[0] != orders[1]).any() and (orders[0] != np.arange(n)).any()
+    found = {r["permutation"]: r["lambda"] for r in eqtl.permuted_inflation(expression, genes, variants, n=2).collect()}
+    for draw, order in enumerate(orders):
+        r = np.array([np.corrcoef(a[order], b)[0, 1] for a in y for b in g])
+        p = t_two_sided(r * np.sqrt((n - 2) / (1 - r * r)), n - 2)
+        assert found[draw] == pytest.approx(np.median(chi2_1_isf(p)) / CHI2_1_MEDIAN, rel=1e-6)
