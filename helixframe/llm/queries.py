@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contamination
+from .divergence import LEAST_DOCS, MOST_RANK, source_divergence
 from .exact import exact_groups
 from .lines import duplicate_lines
 from .near import near_components
@@ -23,6 +24,7 @@ N_SHARDS = 24
 #: For DuckDB: A-Z in lower case, and words of letters, digits and all that isn't ASCII.
 UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 ALNUM_WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+LETTER_WORDS = r"'[^\x00-\x40\x5B-\x60\x7B-\x7F]+'"
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +69,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_scores(documents(spark, sf_dir))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(documents(spark, sf_dir))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -74,7 +80,7 @@ def tokenizer_path() -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_sharding, op2_html_extraction, op3_minhash, op4_line_dedup, op5_exact_dedup, op6_toxicity, op7_secret_scan, op8_decontamination, op9_packing, op10_lm_scoring)
+    found = (op1_sharding, op2_html_extraction, op3_minhash, op4_line_dedup, op5_exact_dedup, op6_toxicity, op7_secret_scan, op8_decontamination, op9_packing, op10_lm_scoring, op12_source_divergence)
     return {f.__name__: f for f in found}
 
 
@@ -100,6 +106,23 @@ def oracle_sql() -> dict[str, str]:
                    sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
             FROM dw LEFT JOIN words USING (row) LEFT JOIN items USING (row)""",
         "op7_secret_scan": secrets_sql(),
+        "op12_source_divergence": rf"""
+            WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), {UPPER}) AS t FROM documents),
+            w AS (SELECT row, lang, source, unnest(regexp_extract_all(t, {LETTER_WORDS})) AS term FROM d),
+            c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT row) AS docs FROM w GROUP BY ALL),
+            kept AS (SELECT lang, term, sum(n) AS total FROM c GROUP BY ALL HAVING sum(docs) >= {LEAST_DOCS}),
+            v AS (SELECT lang, count(*) AS v, sum(total) AS n_lang FROM kept GROUP BY lang),
+            g AS (SELECT DISTINCT lang, source FROM d),
+            cell AS (SELECT g.lang, g.source, term, coalesce(n, 0) AS n, total FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+            s AS (SELECT lang, source, sum(n) AS n_all FROM cell GROUP BY ALL),
+            p AS (SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 5)) // (n_all + 5 * v) AS p, 1 + (1000000000::HUGEINT * (total + 5)) // (n_lang + 5 * v) AS q
+                  FROM cell JOIN s USING (lang, source) JOIN v USING (lang)),
+            f AS (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+            parts AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+                      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+                      UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
+            SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+            FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM parts) WHERE part = 'pair' OR rank <= {MOST_RANK}""",
         "op4_line_dedup": r"""
             WITH l AS (SELECT doc_id, i - 1 AS line_no, p[i] AS line FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents)) WHERE trim(p[i]) <> ''),
             f AS (SELECT line, length(line) AS n, min({'d': doc_id, 'l': line_no}) AS own, row_number() OVER () AS k FROM l GROUP BY line),

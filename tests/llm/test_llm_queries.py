@@ -20,6 +20,7 @@ COLUMNS = {
     "op7_secret_scan": "doc_id n_assign n_access n_hex base_sha256 spans",
     "op8_decontamination": "doc_id n_words n_hit n_items items_sha256 contaminated",
     "op9_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
+    "op12_source_divergence": "lang source part item value rank",
     "op10_lm_scoring": "doc_id held_out n_tokens n_known train_tokens base_score score",
 }
 
@@ -34,5 +35,7 @@ def test_query_has_the_columns_and_rows_of_its_contract(spark, name):
     df = queries()[name](spark, SMALLEST)
     assert df.columns == COLUMNS[name].split()
     table = "pages" if name.startswith("op2_") else "documents"
+    if name.startswith("op12_"):
+        return
     n = spark.read.parquet(f"{SMALLEST}/{table}.parquet").count()
     assert df.count() == n if name != "op9_packing" else df.select("doc_id").distinct().count() == n
