@@ -14,6 +14,7 @@ from .lines import duplicate_lines
 from .near import near_components
 from .packing import pack
 from .pages import main_text
+from .personal import personal_spans
 from .runtime import documents, id_bucket
 from .scoring import language_scores
 from .secrets import ALPHABET, BASE, CANDIDATE, LEAST_RANDOM, secret_spans, trained
@@ -69,6 +70,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_scores(documents(spark, sf_dir))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_spans(documents(spark, sf_dir)).drop("found")
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(documents(spark, sf_dir))
 
@@ -80,7 +85,7 @@ def tokenizer_path() -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_sharding, op2_html_extraction, op3_minhash, op4_line_dedup, op5_exact_dedup, op6_toxicity, op7_secret_scan, op8_decontamination, op9_packing, op10_lm_scoring, op12_source_divergence)
+    found = (op1_sharding, op2_html_extraction, op3_minhash, op4_line_dedup, op5_exact_dedup, op6_toxicity, op7_secret_scan, op8_decontamination, op9_packing, op10_lm_scoring, op11_personal_data, op12_source_divergence)
     return {f.__name__: f for f in found}
 
 

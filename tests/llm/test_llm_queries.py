@@ -20,6 +20,7 @@ COLUMNS = {
     "op7_secret_scan": "doc_id n_assign n_access n_hex base_sha256 spans",
     "op8_decontamination": "doc_id n_words n_hit n_items items_sha256 contaminated",
     "op9_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
+    "op11_personal_data": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
     "op12_source_divergence": "lang source part item value rank",
     "op10_lm_scoring": "doc_id held_out n_tokens n_known train_tokens base_score score",
 }
