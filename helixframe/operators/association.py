@@ -191,6 +191,50 @@ def scan(features: DataFrame, y, covariates=None, model: str = "auto", alpha: fl
     return adjusted(found, "p", "variant").withColumn("neglog10p", neglog10p(F.col("p"))).select(*NAMES, "neglog10p", "bonferroni", "fdr_bh")
 
 
+def scan_by_sums(cells: DataFrame, samples: DataFrame, outcome: str, covariates: tuple[str, ...] = (), alpha: float = ALPHA) -> DataFrame:
+    """The linear scan() of genotypes in long form: cells (variant, sample_id, dosage) and samples (sample_id and the columns named).
+
+    Each variant's sums of products are aggregated, partly before the exchange, so neither a row nor a task holds all
+    samples, and the sample side isn't collected; the model is solved from these sums. A variant is fitted on the samples
+    whose dosage, outcome and covariates are all there; one without any such cell is there if it has a cell at all, with a
+    status. Samples must not repeat.
+    """
+    ship(cells.sparkSession)
+    names = [outcome, *covariates]
+    means = samples.agg(*(F.avg(F.col(c).cast("double")).alias(c) for c in names)).first()
+    # About their means, which leaves effects as they are and keeps sums of squares from cancelling.
+    z = [(F.col(c).cast("double") - F.lit(float(means[c] or 0.0))).alias(f"_z{i}") for i, c in enumerate(names)]
+    joined = cells.select(F.col("variant").cast("string").alias("variant"), "sample_id", F.col("dosage").cast("double").alias("_x")).join(samples.select("sample_id", *z), "sample_id", "left")
+    # 1, covariates, dosage, outcome: products of all pairs.
+    columns = [F.lit(1.0), *(F.col(f"_z{i}") for i in range(1, len(names))), F.col("_x"), F.col("_z0")]
+    whole = F.lit(True)
+    for c in columns:
+        whole = whole & c.isNotNull() & ~F.isnan(c)
+    width = len(columns)
+    pairs = [(i, j) for i in range(width) for j in range(i, width)]
+    sums = joined.groupBy("variant").agg(F.array(*(F.coalesce(F.sum(F.when(whole, columns[i] * columns[j])), F.lit(0.0)) for i, j in pairs)).alias("sums"))
+
+    def solve(batches):
+        for b in batches:
+            flat = values_of(b.column("sums"), len(pairs))
+            m = np.zeros((len(flat), width, width))
+            for at, (i, j) in enumerate(pairs):
+                m[:, i, j] = m[:, j, i] = flat[:, at]
+            k = width - 2
+            n, inverse = np.rint(m[:, 0, 0]), np.linalg.pinv(m[:, :k, :k], hermitian=True)
+            # What is left of dosage and outcome beside the constant and the covariates.
+            left = m[:, k:, k:] - m[:, k:, :k] @ inverse @ m[:, :k, k:]
+            sxx, sxy, syy, df = left[:, 0, 0], left[:, 0, 1], left[:, 1, 1], n - k - 1
+            ok = (sxx > 1e-10 * np.maximum(n, 1)) & (df >= 1)
+            with np.errstate(all="ignore"):
+                effect = sxy / sxx
+                se = np.sqrt(np.maximum(syy - effect * sxy, 0) / df / sxx)
+            yield rows(b.column("variant").to_pylist(), n, effect, se, df, np.where(ok, "ok", "degenerate").astype(object), "OLS", alpha)
+
+    found = sums.mapInArrow(solve, RESULT)
+    return adjusted(found, "p", "variant").withColumn("neglog10p", neglog10p(F.col("p"))).select(*NAMES, "neglog10p", "bonferroni", "fdr_bh")
+
+
 def simple_regression(pairs: DataFrame, key: str, x: str, y: str) -> DataFrame:
     """Regression of y on x alone for each key, from sums: n, effect, se, stat, df, status. Pairs with a null are left out."""
     both = pairs.filter(F.col(x).isNotNull() & F.col(y).isNotNull())

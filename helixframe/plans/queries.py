@@ -569,11 +569,9 @@ def by_sample(spark, d):
 
 
 def linear(spark, d):
-    from ..operators.association import scan
+    from ..operators.association import scan_by_sums
 
-    variants, samples = matrix(spark, d)
-    s = sample_side(samples)
-    return scan(variants, s.y.to_numpy(), s[["nation"]].to_numpy(float), "linear")
+    return scan_by_sums(V.geno(spark, d).withColumnRenamed("variant_id", "variant"), V.pheno(spark, d), "y", ("nation",))
 
 
 #: Regression on a variant and one covariate from centred sums; the two-sided p of t by Simpson's rule over the angle whose tangent is t / sqrt(df).
