@@ -156,9 +156,9 @@ KING = """, a AS (SELECT a.sample_id AS id1, b.sample_id AS id2, count(*) FILTER
     FROM geno a JOIN geno b ON a.variant_id = b.variant_id AND a.sample_id < b.sample_id GROUP BY 1, 2), k AS (SELECT id1, id2, (hh - 2 * opp)::DOUBLE / nullif(het, 0) AS kinship FROM a)"""
 
 
-@query("m20_king_robust", with_views("geno", KING + f" SELECT id1, id2, round(kinship, {R}) AS kinship FROM k"))
+@query("m20_king_robust", with_views("geno", KING + f" SELECT id1, id2, round(kinship, {R}) AS kinship FROM k WHERE kinship > {qc.RELATED}"))
 def m20(spark, d):
-    return rounded(qc.king_robust(V.geno(spark, d)), "kinship")
+    return rounded(qc.king_robust(V.geno(spark, d), qc.RELATED), "kinship")
 
 
 @query(

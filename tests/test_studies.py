@@ -108,6 +108,19 @@ def test_nested_keys_and_all_problems(spark):
     assert len(found.value.problems) == 80 + 0
 
 
+def test_a_built_card_with_a_composite_grade_is_refused(spark):
+    hits = spark.createDataFrame([("f", 1.0, 0.1, 1e-9, 1e-8, 10.0, True, 5, 50)], "feature_id string, effect double, se double, p double, q_value double, z double, lineage_adjusted boolean, n_present long, n long")
+    context = {"scope": "real", "cohort_tier": "discovery", "breakpoint_status": "UNVERIFIED", "literature": ["a study"]}
+    good = spark.createDataFrame([("f", (1, [(2.0,)]))], "feature_id string, assay struct<plate:int,wells:array<struct<rank:double>>>")
+    card = evidence.build_cards(hits, context, more=good).first()
+    assert card.more.assay.plate == 1 and card.literature_evidence == ["a study"] and "more.assay.wells.rank" in card.extra_keys
+    assert card.uncertainty.low == pytest.approx(1 - 0.196) and card.population_adjusted_evidence.significant
+    bad = spark.createDataFrame([("f", (1, [(2.0,)]))], "feature_id string, assay struct<plate:int,wells:array<struct<overall_rank:double>>>")
+    with pytest.raises(evidence.EvidenceCardError) as found:
+        evidence.build_cards(hits, context, more=bad)
+    assert found.value.problems == ["f: a composite score or rank"]
+
+
 def test_synthetic_cards_say_nothing(spark):
     hits = spark.createDataFrame([("f", 1.0, 0.1, 1e-9, 1e-8, 10.0, True, 5, 50)], "feature_id string, effect double, se double, p double, q_value double, z double, lineage_adjusted boolean, n_present long, n long")
     made = evidence.build_cards(hits, {"scope": "synthetic", "cohort_tier": "discovery", "breakpoint_status": "VERIFIED"}).first()
