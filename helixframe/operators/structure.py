@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import cut, ship
-from .association import values_of
+from .association import SAMPLE_LIMIT, values_of
+from .sums import summed
 
 #: Samples that a dense matrix of all pairs may have.
 DENSE_LIMIT = 5_000
+#: Directions beyond those asked for, rounds at most, and the least residual of a component, as a part of the largest.
+SPARE, ROUNDS, RESIDUAL = 10, 60, 1e-9
 
 
 def jaccard(present: DataFrame, item: str, of: str) -> DataFrame:
@@ -73,9 +76,89 @@ def standardised(g: np.ndarray) -> np.ndarray:
     return x / np.where(sd == 0, 1, sd)
 
 
+def leading(product, n: int, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values, vectors (n by k) and residuals of the k largest components of a symmetric matrix that only product(x) knows.
+
+    A Krylov space grown from random directions, a block a round, each made orthogonal to those before; the components are
+    the best that it holds. It ends when all residuals are under RESIDUAL of the largest value, when the space is whole,
+    or when it has ROUNDS blocks or SAMPLE_LIMIT numbers.
+    """
+    width = min(n, k + SPARE)
+    x = np.linalg.qr(np.random.default_rng(seed).normal(size=(n, width)))[0]
+    space, image = np.empty((n, 0)), np.empty((n, 0))
+    for _ in range(ROUNDS):
+        space, image = np.hstack([space, x]), np.hstack([image, product(x)])
+        small = space.T @ image
+        values, turn = np.linalg.eigh((small + small.T) / 2)
+        order = np.argsort(values)[::-1][:k]
+        values, vectors = values[order], space @ turn[:, order]
+        residual = np.linalg.norm(image @ turn[:, order] - vectors * values, axis=0)
+        left = n - space.shape[1]
+        if residual.max(initial=0) <= RESIDUAL * max(values.max(initial=0), 1e-300) or not left or 2 * n * (space.shape[1] + width) > SAMPLE_LIMIT:
+            break
+        x = image[:, -width:]
+        for _ in range(2):
+            x = x - space @ (space.T @ x)
+        x, size, _ = np.linalg.svd(x, full_matrices=False)
+        x = x[:, size > 1e-12 * max(size.max(initial=0), 1e-300)][:, :left]
+        if not x.shape[1]:
+            break
+        width = x.shape[1]
+    return values, vectors, residual
+
+
+def times_gram(rows: DataFrame, scaled):
+    """The product of a matrix with the sum over rows (an array each) of outer products of their scaled values.
+
+    Each partition multiplies its own rows twice, so what travels is n by as many columns as the matrix has, never n by n.
+    """
+
+    def product(x: np.ndarray) -> np.ndarray:
+        shared = rows.sparkSession.sparkContext.broadcast(x)
+
+        def own(b: pa.RecordBatch) -> np.ndarray:
+            z = scaled(values_of(b.column(0), len(shared.value)))
+            return (z.T @ (z @ shared.value)).ravel()
+
+        out = summed(rows, own, x.size).reshape(x.shape)
+        shared.unpersist()
+        return out
+
+    return product
+
+
+def large_components(features: DataFrame, n: int, k: int = 10, scaled=genotype_scaled, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of n samples their k components (n by k), the shares of variance, and the residuals, without a matrix of pairs.
+
+    features: one column, array<double> by sample. The driver and each task hold n by a few columns, bounded by
+    SAMPLE_LIMIT numbers; a round reads features once. Residuals say how far a component may be off, as a part of the
+    largest value: flat spectra take more rounds than are made, and then say so.
+    """
+    if 2 * n * min(n, k + SPARE) > SAMPLE_LIMIT:
+        raise ValueError(f"{n} samples by {k + SPARE} columns; the limit is {SAMPLE_LIMIT} numbers")
+    totals = summed(features, lambda b: np.array([len(z := scaled(values_of(b.column(0), n))), (z * z).sum()], float), 2)
+    used = int(totals[0])
+    if not used:
+        return np.empty((n, 0)), np.zeros(0), np.zeros(0)
+    k = min(k, n - 1, used)
+    values, vectors, residual = leading(times_gram(features, scaled), n, k, seed)
+    kept = np.maximum(values, 0)
+    return signed(vectors) * np.sqrt(kept), kept / max(totals[1], 1e-300), residual / max(kept.max(initial=0), 1e-300)
+
+
 def principal_components(features: DataFrame, samples: list, k: int = 10, scaled=genotype_scaled) -> tuple[pd.DataFrame, np.ndarray]:
-    """Components of samples (sample_id, PC1 to PCk) and their shares of variance. features: one column, array<double> by sample."""
+    """Components of samples (sample_id, PC1 to PCk) and their shares of variance. features: one column, array<double> by sample.
+
+    Beyond DENSE_LIMIT samples they are those of large_components, refused where a residual is above 1e-4.
+    """
     n = len(samples)
+    if n > DENSE_LIMIT:
+        pcs, share, residual = large_components(features, n, k, scaled)
+        if residual.max(initial=0) > 1e-4:
+            raise ValueError(f"the components of {n} samples are too much alike: residuals {residual.tolist()}")
+        frame = pd.DataFrame(pcs, columns=[f"PC{i + 1}" for i in range(pcs.shape[1])])
+        frame.insert(0, "sample_id", samples)
+        return frame, share
     total, used = gram(features, n, scaled)
     if not used:
         return pd.DataFrame({"sample_id": samples}), np.zeros(0)
@@ -88,17 +171,59 @@ def principal_components(features: DataFrame, samples: list, k: int = 10, scaled
     return frame, kept / max(np.maximum(values, 0).sum(), 1e-300)
 
 
+def centre_and_scale(total: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which features vary, their means (0 for others) and what their values are divided by (infinite for others)."""
+    with np.errstate(all="ignore"):
+        mean = total / there
+    use = np.isfinite(mean) & (mean > 0) & (mean < 2)
+    mean = np.where(use, mean, 0.0)
+    return use, mean, np.where(use, np.sqrt(mean * np.where(use, 1 - mean / 2, 1.0)), np.inf)
+
+
+def dense_directions(rows: DataFrame, wide: int, k: int, halves) -> tuple:
+    """Means, scales, number used, values, directions and sum of all values of few features, from their matrix of pairs."""
+    def own(b: pa.RecordBatch) -> np.ndarray:
+        x = np.hstack(halves(b))
+        return np.append((x.T @ x).ravel(), float(len(x)))
+
+    both = summed(rows, own, 4 * wide * wide + 1)
+    n, both = int(both[-1]), both[:-1].reshape(2 * wide, 2 * wide)
+    xx, xm, mm = both[:wide, :wide], both[:wide, wide:], both[wide:, wide:]
+    use, mean, scale = centre_and_scale(np.diag(xm), np.diag(mm))
+    used = int(use.sum())
+    cross = (xx - xm * mean - (xm * mean).T + mm * np.outer(mean, mean)) / np.outer(scale, scale)
+    values, vectors = np.linalg.eigh(cross / max(used, 1))
+    order = np.argsort(values)[::-1][: max(min(k, n - 1, used), 0)]
+    return mean, scale, used, values[order], vectors[:, order], np.maximum(values, 0).sum()
+
+
+def wide_directions(rows: DataFrame, wide: int, k: int, halves) -> tuple:
+    """The same of many features, from products of their matrix of pairs with a few columns at a time."""
+    sums = summed(rows, lambda b: np.concatenate([*(h.sum(axis=0) for h in halves(b)), [float(b.num_rows)]]), 2 * wide + 1)
+    n = int(sums[-1])
+    use, mean, scale = centre_and_scale(sums[:wide], sums[wide:-1])
+    used = int(use.sum())
+
+    def scaled(g: np.ndarray) -> np.ndarray:
+        return np.where(np.isfinite(g), (g - mean) / scale, 0.0)
+
+    whole = summed(rows, lambda b: np.array([(scaled(values_of(b.column(0), wide)) ** 2).sum()]), 1)[0]
+    values, vectors, residual = leading(times_gram(rows, scaled), wide, max(min(k, n - 1, used), 0))
+    if residual.max(initial=0) > 1e-4 * max(values.max(initial=0), 1e-300):
+        raise ValueError(f"the components of {wide} features are too much alike: residuals {residual.tolist()}")
+    return mean, scale, used, values / max(used, 1), vectors, whole / max(used, 1)
+
+
 def projected_components(rows: DataFrame, k: int = 10) -> tuple[DataFrame, np.ndarray]:
-    """Components as principal_components has them, of any number of samples by few features.
+    """Components as principal_components has them, of any number of samples, a row each.
 
     rows: sample_id and dosage, an array<double> by feature. Each partition adds up products of features and of what is
     there; with integer dosages these sums are exact, in whatever order. Their matrix of all pairs of features is small,
-    and every sample is projected where its row lies.
+    and every sample is projected where its row lies. Beyond DENSE_LIMIT features there is no matrix of pairs: directions
+    come from leading(), and are refused where a residual is above 1e-4.
     """
     first = rows.select(F.size("dosage")).first()
     wide = first[0] if first else 0
-    if wide > DENSE_LIMIT:
-        raise ValueError(f"a dense matrix of {wide} features; the limit is {DENSE_LIMIT}")
     ship(rows.sparkSession)
 
     def halves(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -106,34 +231,15 @@ def projected_components(rows: DataFrame, k: int = 10) -> tuple[DataFrame, np.nd
         there = np.isfinite(g)
         return np.where(there, g, 0.0), there.astype(float)
 
-    def partial(batches):
-        total, n = np.zeros((2 * wide, 2 * wide)), 0
-        for b in batches:
-            x = np.hstack(halves(b))
-            total += x.T @ x
-            n += len(x)
-        yield pa.RecordBatch.from_arrays([pa.array(range(2 * wide + 1), pa.int32()), pa.array([*total.tolist(), [float(n)]], pa.list_(pa.float64()))], names=["i", "v"])
-
-    parts = rows.select("dosage").mapInArrow(partial, "i int, v array<double>")
-    summed = parts.select("i", F.posexplode("v").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x")).toPandas()
-    both = np.zeros((2 * wide + 1, max(2 * wide, 1)))
-    both[summed.i, summed.j] = summed.x
-    n, both = int(both[-1, 0]), both[:-1]
-    xx, xm, mm = both[:wide, :wide], both[:wide, wide:], both[wide:, wide:]
-    with np.errstate(all="ignore"):
-        mean = np.diag(xm) / np.diag(mm)
-    use = np.isfinite(mean) & (mean > 0) & (mean < 2)
-    used = int(use.sum())
+    if wide > DENSE_LIMIT:
+        mean, scale, used, values, vectors, whole = wide_directions(rows.select("dosage"), wide, k, halves)
+    else:
+        mean, scale, used, values, vectors, whole = dense_directions(rows.select("dosage"), wide, k, halves)
     if not used:
         return rows.select("sample_id"), np.zeros(0)
-    mean = np.where(use, mean, 0.0)
-    scale = np.where(use, np.sqrt(mean * np.where(use, 1 - mean / 2, 1.0)), np.inf)
-    cross = (xx - xm * mean - (xm * mean).T + mm * np.outer(mean, mean)) / np.outer(scale, scale)
-    values, vectors = np.linalg.eigh(cross / used)
-    order = np.argsort(values)[::-1][: min(k, n - 1, used)]
-    kept = np.maximum(values[order], 0)
-    names = [f"PC{i + 1}" for i in range(len(order))]
-    weights = vectors[:, order] / scale[:, None]
+    kept = np.maximum(values, 0)
+    names = [f"PC{i + 1}" for i in range(len(kept))]
+    weights = vectors / scale[:, None]
 
     def project(batches):
         for b in batches:
@@ -147,7 +253,7 @@ def projected_components(rows: DataFrame, k: int = 10) -> tuple[DataFrame, np.nd
         return pcs, kept
     largest = pcs.agg(*[F.min(F.struct((-F.abs(c)).alias("size"), "sample_id", F.col(c).alias("x"))).alias(c) for c in names]).first()
     turned = [(F.col(c) * (-1.0 if largest[c].x < 0 else 1.0)).alias(c) for c in names]
-    return pcs.select("sample_id", *turned), kept / max(np.maximum(values, 0).sum(), 1e-300)
+    return pcs.select("sample_id", *turned), kept / max(whole, 1e-300)
 
 
 def principal_coordinates(distance: np.ndarray, k: int = 5) -> np.ndarray:
