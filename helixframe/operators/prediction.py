@@ -66,43 +66,27 @@ def area(y: np.ndarray, score: np.ndarray) -> float:
     return float((r[y == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * n0))
 
 
-def ridge_tobit(x: np.ndarray, y: Outcome, l2: float, steps: int = 100) -> np.ndarray:
-    """Intercept, coefficients and log sigma that maximise the censored likelihood less half l2 times the squared coefficients.
-
-    Newton steps with halving, in coefficients and log sigma, from the mean.
-    """
-    a = np.column_stack([np.ones(len(x)), x])
-    k = a.shape[1]
-    weight = np.full(k, float(l2))
-    weight[0] = 0
-    guess = y.guess()
-    point = np.zeros(k + 1)
-    point[0], point[k] = guess.mean(), np.log(max(guess.std(), 1e-2))
-
-    def at(p: np.ndarray):
-        sigma, beta = np.exp(p[k]), p[:k]
-        value, grad, hess = y.derivatives(beta / sigma, 1 / sigma, a)
-        turn = np.zeros((k + 1, k + 1))
-        turn[:k, :k], turn[:k, k], turn[k, k] = np.eye(k) / sigma, -beta / sigma, -1 / sigma
-        curve = turn.T @ hess @ turn
-        curve[:k, k] -= grad[:k] / sigma
-        curve[k, :k] -= grad[:k] / sigma
-        curve[k, k] += grad[:k] @ beta / sigma + grad[k] / sigma
-        grad = turn.T @ grad
-        grad[:k] -= weight * beta
-        curve[np.arange(k), np.arange(k)] -= weight
-        return value - 0.5 * float(weight @ (beta * beta)), grad, curve
-
-    value, grad, hess = at(point)
+def alone(climb, at):
+    """What a search finds that yields points and is sent their values."""
+    point = next(climb)
+    while True:
+        try:
+            point = climb.send(at(point))
+        except StopIteration as end:
+            return end.value
+
+
+def newton(point: np.ndarray, close: float, steps: int = 100):
+    """A search for a maximum by Newton steps with halving: yields points, is sent (value, gradient, Hessian), returns the last."""
+    value, grad, hess = yield point
     for _ in range(steps):
-        if np.abs(grad).max() < 1e-7 * len(x):
+        if np.abs(grad).max() < close:
             break
         values, vectors = np.linalg.eigh(-hess)
         step = vectors @ ((vectors.T @ grad) / np.maximum(np.abs(values), 1e-8))
         size = 1.0
         while size > 1e-8:
-            with np.errstate(all="ignore"):
-                new = at(point + size * step)
+            new = yield point + size * step
             if np.isfinite(new[0]) and new[0] >= value:
                 break
             size /= 2
@@ -112,30 +96,110 @@ def ridge_tobit(x: np.ndarray, y: Outcome, l2: float, steps: int = 100) -> np.nd
     return point
 
 
-def elastic_net(x: np.ndarray, y: np.ndarray, c: float, l1: float = L1_RATIO, steps: int = 2000) -> tuple[float, np.ndarray]:
-    """Intercept and coefficients of a logistic model with classes of equal weight: c times the loss, and l1 and l2 penalties.
+def tobit_start(k: int, mean: float, deviation: float) -> np.ndarray:
+    """Intercept, k coefficients and log sigma of a model of guesses (Outcome.guess) that are all at their mean."""
+    return np.array([mean, *np.zeros(k), np.log(max(deviation, 1e-2))])
 
-    Proximal gradient steps with momentum and restarts.
-    """
-    w = np.where(y == 1, len(y) / (2 * max((y == 1).sum(), 1)), len(y) / (2 * max((y == 0).sum(), 1)))
+
+def tobit_scaled(p: np.ndarray) -> tuple[np.ndarray, float]:
+    """The coefficients over sigma, and 1 over sigma, in which likelihoods add up."""
+    return p[:-1] / np.exp(p[-1]), float(np.exp(-p[-1]))
+
+
+def tobit_penalised(p: np.ndarray, likelihood: tuple, l2: float) -> tuple:
+    """Value, gradient and Hessian in coefficients and log sigma, less half l2 times the squared coefficients but the intercept."""
+    value, grad, hess = likelihood
+    k = len(p) - 1
+    sigma, beta = np.exp(p[k]), p[:k]
+    weight = np.full(k, float(l2))
+    weight[0] = 0
+    turn = np.zeros((k + 1, k + 1))
+    turn[:k, :k], turn[:k, k], turn[k, k] = np.eye(k) / sigma, -beta / sigma, -1 / sigma
+    curve = turn.T @ hess @ turn
+    curve[:k, k] -= grad[:k] / sigma
+    curve[k, :k] -= grad[:k] / sigma
+    curve[k, k] += grad[:k] @ beta / sigma + grad[k] / sigma
+    grad = turn.T @ grad
+    grad[:k] -= weight * beta
+    curve[np.arange(k), np.arange(k)] -= weight
+    return value - 0.5 * float(weight @ (beta * beta)), grad, curve
+
+
+def ridge_tobit(x: np.ndarray, y: Outcome, l2: float, steps: int = 100) -> np.ndarray:
+    """Intercept, coefficients and log sigma that maximise the censored likelihood less half l2 times the squared coefficients."""
     a = np.column_stack([np.ones(len(x)), x])
-    rate = 1 / (0.25 * c * np.linalg.norm(a * np.sqrt(w)[:, None], 2) ** 2 + (1 - l1))
-    b = z = np.zeros(a.shape[1])
-    t = 1.0
+    guess = y.guess()
+
+    def at(p: np.ndarray):
+        with np.errstate(all="ignore"):
+            return tobit_penalised(p, y.derivatives(*tobit_scaled(p), a), l2)
+
+    return alone(newton(tobit_start(x.shape[1], guess.mean(), guess.std()), 1e-7 * len(x), steps), at)
+
+
+def net_residual(b: np.ndarray, slope: np.ndarray, l1: float) -> float:
+    """How far (b, slope of the loss) is from a minimum with penalties l1 and half (1 - l1) squared, but on the intercept."""
+    whole = slope[1:] + (1 - l1) * b[1:]
+    off = np.where(b[1:] != 0, np.abs(whole + l1 * np.sign(b[1:])), np.maximum(np.abs(whole) - l1, 0))
+    return float(max(abs(slope[0]), off.max(initial=0)))
+
+
+def net_step(b: np.ndarray, slope: np.ndarray, hess: np.ndarray, l1: float, sweeps: int = 5000) -> np.ndarray:
+    """Where the quadratic model of the loss at b and the penalties have their minimum, by one coordinate after another."""
+    curve = hess + np.diag([1e-12, *np.full(len(b) - 1, 1 - l1)])
+    linear = slope - hess @ b
+    new, pull = b.copy(), curve @ b
+    for _ in range(sweeps):
+        most = 0.0
+        for j in range(len(b)):
+            free = curve[j, j] * new[j] - pull[j] - linear[j]
+            to = free / curve[j, j] if j == 0 else np.sign(free) * max(abs(free) - l1, 0.0) / curve[j, j]
+            if (change := to - new[j]) != 0:
+                pull += curve[:, j] * change
+                new[j] = to
+                most = max(most, abs(change))
+        if most < 1e-13 * max(1.0, np.abs(new).max()):
+            break
+    return new
+
+
+def net_search(b: np.ndarray, l1: float = L1_RATIO, close: float = 1e-8, steps: int = 200):
+    """A search for an elastic net by proximal Newton steps with halving; is sent (loss, slope, Hessian), returns coefficients."""
+    cost = lambda x: l1 * np.abs(x[1:]).sum() + 0.5 * (1 - l1) * (x[1:] @ x[1:])
+    loss, slope, hess = yield b
     for _ in range(steps):
-        slope = c * (a.T @ (w * (1 / (1 + np.exp(-np.clip(a @ z, -30, 30))) - y)))
-        slope[1:] += (1 - l1) * z[1:]
-        new = z - rate * slope
-        new[1:] = np.sign(new[1:]) * np.maximum(np.abs(new[1:]) - rate * l1, 0)
-        if (z - new) @ (new - b) > 0:
-            t, z = 1.0, new
+        if net_residual(b, slope, l1) < close:
+            break
+        step = net_step(b, slope, hess, l1) - b
+        promised = slope @ step + cost(b + step) - cost(b)
+        size = 1.0
+        while size > 1e-10:
+            new = yield b + size * step
+            if new[0] + cost(b + size * step) <= loss + cost(b) + 1e-4 * size * promised + 1e-13 * abs(loss):
+                break
+            size /= 2
         else:
-            t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
-            z, t = new + (t - 1) / t2 * (new - b), t2
-        done = np.abs(new - b).max() < 1e-8
-        b = new
-        if done:
             break
+        b, (loss, slope, hess) = b + size * step, new
+    return b
+
+
+def net_loss(a: np.ndarray, y: np.ndarray, w: np.ndarray, b: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Weighted logistic loss, its slope and its Hessian; these add up over rows."""
+    eta = a @ b
+    p = 1 / (1 + np.exp(-np.clip(eta, -700, 700)))
+    return float(w @ (np.logaddexp(0, eta) - y * eta)), a.T @ (w * (p - y)), (a * (w * p * (1 - p))[:, None]).T @ a
+
+
+def class_weights(n0: float, n1: float) -> tuple[float, float]:
+    return (n0 + n1) / (2 * max(n0, 1)), (n0 + n1) / (2 * max(n1, 1))
+
+
+def elastic_net(x: np.ndarray, y: np.ndarray, c: float, l1: float = L1_RATIO, start: np.ndarray | None = None) -> tuple[float, np.ndarray]:
+    """Intercept and coefficients of a logistic model with classes of equal weight: c times the loss, and l1 and l2 penalties."""
+    w = c * np.where(y == 1, *class_weights((y == 0).sum(), (y == 1).sum())[::-1])
+    a = np.column_stack([np.ones(len(x)), x])
+    b = alone(net_search(np.zeros(a.shape[1]) if start is None else start, l1), lambda p: net_loss(a, y, w, p))
     return float(b[0]), b[1:]
 
 

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import scalar as S
 from ..operators import assays, cohorts, joins, qc, ranks
 from ..operators.association import simple_regression
+from ..runtime import cut
 from . import views as V
 from .views import with_views
 
@@ -730,18 +731,20 @@ def w11(spark, d):
     return rows.groupBy("lineage").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(blocked_folds(rows, "lineage", 5)), "lineage")
 
 
+def assayed(spark, d):
+    """A row a sample: x (1 where a variant has dosage 2), bounds, code (the bound that is known), lineage."""
+    x = by_sample(spark, d).select("sample_id", F.transform("dosage", lambda g: F.when(g == 2, 1.0).otherwise(0.0)).alias("x"))
+    v, k = F.col("y") / 3000.0, F.col("sample_id") % 3
+    low, high = F.when(k == 1, float("-inf")).otherwise(v), F.when(k == 2, float("inf")).otherwise(v)
+    side = V.pheno(spark, d).select("sample_id", low.alias("low"), high.alias("high"), v.alias("code"), F.col("nation").alias("lineage"))
+    return cut(x.join(side, "sample_id"))
+
+
 @query("m12_nested_blocked_cv")
 def m12(spark, d):
-    import numpy as np
+    from ..operators.rowwise import blocked, nested
 
-    from ..operators.prediction import Cohort, cross_validated
-
-    x = presence(spark, d).orderBy("feature_id").toPandas()
-    side = intervals(spark, d).orderBy("sample_idx").toPandas()
-    nations = sample_side(matrix(spark, d)[1]).nation.to_numpy()
-    values = np.where(np.isfinite(side.log2_lower), side.log2_lower, side.log2_upper)
-    cohort = Cohort(np.array(x.g.tolist()).T, side.log2_lower.to_numpy(), side.log2_upper.to_numpy(), values, nations)
-    return cross_validated(spark, cohort).drop("chosen", "coefficients")
+    return nested(cut(blocked(assayed(spark, d), 5, 3))).drop("chosen", "coefficients")
 
 
 def points(spark, d):
@@ -811,12 +814,7 @@ def m26(spark, d):
 
 @query("m10_ridge_tobit")
 def m10(spark, d):
-    import numpy as np
-
-    from ..operators.censored import Outcome
-    from ..operators.prediction import ridge_tobit
+    from ..operators.rowwise import ridge_tobit_rows
 
-    x = presence(spark, d).orderBy("feature_id").toPandas()
-    side = intervals(spark, d).orderBy("sample_idx").toPandas()
-    model = ridge_tobit(np.array(x.g.tolist()).T, Outcome(side.log2_lower, side.log2_upper), 10.0)
-    return spark.createDataFrame([(str(n), float(v)) for n, v in zip(["intercept", *x.feature_id, "log_sigma"], model, strict=True)], "term string, value double")
+    model = ridge_tobit_rows(assayed(spark, d), 10.0, V.N_VARIANTS)
+    return spark.createDataFrame([(str(n), float(v)) for n, v in zip(["intercept", *range(V.N_VARIANTS), "log_sigma"], model, strict=True)], "term string, value double")
