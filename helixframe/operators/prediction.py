@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..runtime import ship
-from .censored import Outcome
+from .censored import MAX_LOG_SIGMA, Outcome
 
 # Registered settings.
 OUTER, INNER, TOP_K, L2_GRID, C_GRID, L1_RATIO = 5, 3, 200, (0.1, 1.0, 10.0, 100.0), (0.01, 0.1, 1.0), 0.5
@@ -76,11 +76,14 @@ def alone(climb, at):
             return end.value
 
 
-def newton(point: np.ndarray, close: float, steps: int = 100):
-    """A search for a maximum by Newton steps with halving: yields points, is sent (value, gradient, Hessian), returns the last."""
+def newton(point: np.ndarray, close: float, steps: int = 100, least: float = -np.inf):
+    """A search for a maximum by Newton steps with halving: yields points, is sent (value, gradient, Hessian), returns the last.
+
+    It also ends where the last number of the point falls under `least`: a log sigma that far down has no maximum above it.
+    """
     value, grad, hess = yield point
     for _ in range(steps):
-        if np.abs(grad).max() < close:
+        if np.abs(grad).max() < close or point[-1] < least:
             break
         values, vectors = np.linalg.eigh(-hess)
         step = vectors @ ((vectors.T @ grad) / np.maximum(np.abs(values), 1e-8))
@@ -103,7 +106,8 @@ def tobit_start(k: int, mean: float, deviation: float) -> np.ndarray:
 
 def tobit_scaled(p: np.ndarray) -> tuple[np.ndarray, float]:
     """The coefficients over sigma, and 1 over sigma, in which likelihoods add up."""
-    return p[:-1] / np.exp(p[-1]), float(np.exp(-p[-1]))
+    theta = np.exp(-np.clip(p[-1], -300, 300))  # a search may try a sigma that no number holds
+    return p[:-1] * theta, theta
 
 
 def tobit_penalised(p: np.ndarray, likelihood: tuple, l2: float) -> tuple:
@@ -134,7 +138,7 @@ def ridge_tobit(x: np.ndarray, y: Outcome, l2: float, steps: int = 100) -> np.nd
         with np.errstate(all="ignore"):
             return tobit_penalised(p, y.derivatives(*tobit_scaled(p), a), l2)
 
-    return alone(newton(tobit_start(x.shape[1], guess.mean(), guess.std()), 1e-7 * len(x), steps), at)
+    return alone(newton(tobit_start(x.shape[1], guess.mean(), guess.std()), 1e-7 * len(x), steps, -MAX_LOG_SIGMA), at)
 
 
 def net_residual(b: np.ndarray, slope: np.ndarray, l1: float) -> float:
@@ -144,8 +148,8 @@ def net_residual(b: np.ndarray, slope: np.ndarray, l1: float) -> float:
     return float(max(abs(slope[0]), off.max(initial=0)))
 
 
-def net_step(b: np.ndarray, slope: np.ndarray, hess: np.ndarray, l1: float, sweeps: int = 5000) -> np.ndarray:
-    """Where the quadratic model of the loss at b and the penalties have their minimum, by one coordinate after another."""
+def net_step(b: np.ndarray, slope: np.ndarray, hess: np.ndarray, l1: float, sweeps: int = 300) -> np.ndarray:
+    """Where the quadratic model of the loss at b and the penalties have their minimum, or near it, by one coordinate after another."""
     curve = hess + np.diag([1e-12, *np.full(len(b) - 1, 1 - l1)])
     linear = slope - hess @ b
     new, pull = b.copy(), curve @ b
@@ -158,7 +162,7 @@ def net_step(b: np.ndarray, slope: np.ndarray, hess: np.ndarray, l1: float, swee
                 pull += curve[:, j] * change
                 new[j] = to
                 most = max(most, abs(change))
-        if most < 1e-13 * max(1.0, np.abs(new).max()):
+        if most < 1e-10 * max(1.0, np.abs(new).max()):
             break
     return new
 

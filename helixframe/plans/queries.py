@@ -818,3 +818,40 @@ def m10(spark, d):
 
     model = ridge_tobit_rows(assayed(spark, d), 10.0, V.N_VARIANTS)
     return spark.createDataFrame([(str(n), float(v)) for n, v in zip(["intercept", *range(V.N_VARIANTS), "log_sigma"], model, strict=True)], "term string, value double")
+
+
+@query("m11_elastic_net")
+def m11(spark, d):
+    """Samples under the lowest lower bound against those over the highest upper one, at three settings."""
+    from ..operators.rowwise import elastic_net_rows
+
+    models = elastic_net_rows(assayed(spark, d), (0.01, 0.1, 1.0), V.N_VARIANTS, CUTS)
+    rows = [(c, str(n), float(v)) for c, model in models.items() for n, v in zip(["intercept", *range(V.N_VARIANTS)], model, strict=True)]
+    return spark.createDataFrame(rows, "setting double, term string, value double")
+
+
+#: Bounds of the extreme classes of m11: values up to the first and from the second on.
+CUTS = (0.5, 1.5)
+
+
+@query("m13_leakage_gap")
+def m13(spark, d):
+    """Figures of folds that keep lineages whole beside those of folds that tear them apart."""
+    from ..operators.rowwise import at_random, blocked, nested
+
+    rows = assayed(spark, d)
+    named = {"lineage_blocked": blocked(rows, 5, 3), "random_split": at_random(rows, "sample_id", 5, 3, 0)}
+    found = [nested(cut(r)).select(F.lit(k).alias("cv_strategy"), "fold", "interval_mae", "n_test", "lineage_overlap_train_test") for k, r in named.items()]
+    return found[0].unionByName(found[1])
+
+
+@query("m14_external_validation")
+def m14(spark, d):
+    """Models of the samples with even numbers, tested on those with odd ones, which lack the last ten variants."""
+    from ..operators.rowwise import across
+
+    rows, names = assayed(spark, d), [str(i) for i in range(V.N_VARIANTS)]
+    ours, theirs = rows.filter("sample_id % 2 = 0"), rows.filter("sample_id % 2 = 1")
+    figures = across(ours, names, theirs.withColumn("x", F.slice("x", 1, V.N_VARIANTS - 10)), names[:-10])
+    kept = ["cv_strategy", "n_features_common", "n_features_discovery_only", "ridge_tobit_l2", "interval_mae", "n_train", "n_test"]
+    return spark.createDataFrame([tuple(figures[k] for k in kept)], "cv_strategy string, n_features_common long, n_features_discovery_only long, ridge_tobit_l2 double, interval_mae double, n_train long, n_test long")
