@@ -288,21 +288,6 @@ def thinned(unit: np.ndarray, varies: np.ndarray, limit: float, reach: int | Non
     return kept
 
 
-def ld_prune(features: DataFrame, reach: int = 50, limit: float = 0.2) -> DataFrame:
-    """chrom, variant, pos of features (chrom, pos, variant, dosage array) kept on a walk along each chromosome.
-
-    A chromosome is one group, as the walk depends on what it kept; its size is bounded by the genome, not by samples.
-    """
-    ship(features.sparkSession)
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["pos", "variant"])
-        unit, varies = unit_rows(np.array(pdf.dosage.tolist(), float))
-        return pdf.iloc[thinned(unit, varies, limit, reach)][["chrom", "variant", "pos"]]
-
-    return features.select("chrom", "variant", "pos", "dosage").groupBy("chrom").applyInPandas(walk, "chrom string, variant string, pos long")
-
-
 def ld_clump(features: DataFrame, group: str, limit: float = 0.1) -> DataFrame:
     """group, variant kept of each group, the smallest p first (ties by variant)."""
     ship(features.sparkSession)

@@ -671,7 +671,7 @@ def walked(group: str, order: str) -> str:
 
 @query("m18_ld_prune", walked("variant_id % 3", "variant_id") + " SELECT CAST(c AS VARCHAR) AS chrom, CAST(v AS VARCHAR) AS variant, v AS pos FROM k")
 def m18(spark, d):
-    from ..operators.structure import ld_prune
+    from ..operators.pruning import ld_prune
 
     variants, _ = matrix(spark, d)
     return ld_prune(variants.select((F.col("variant").cast("int") % 3).cast("string").alias("chrom"), "variant", F.col("variant").cast("long").alias("pos"), "dosage"), 50, 0.002)
