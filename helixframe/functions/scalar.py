@@ -63,6 +63,12 @@ def inferred_sex(x_heterozygosity: Column, threshold: float) -> Column:
     return F.when(x_heterozygosity >= threshold, 2).otherwise(1)
 
 
+def all_binary(value: Column) -> Column:
+    """An aggregate: whether all known values are 0 or 1, and there is one."""
+    known = F.nanvl(value.cast("double"), F.lit(None).cast("double"))
+    return (F.count(known) > 0) & F.coalesce(F.bool_and(known.isin(0.0, 1.0)), F.lit(False))
+
+
 def neglog10p(p: Column) -> Column:
     return -F.log10(F.greatest(p, F.lit(SMALLEST_P)))
 

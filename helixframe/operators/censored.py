@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dist import chi2_1_sf, log_ndtr, mills, norm_isf, norm_sf
@@ -131,15 +131,19 @@ def fit_censored(y: Outcome, x: np.ndarray, start: Fit | None = None) -> Fit:
     return Fit(beta, log_sigma, value, cov, status)
 
 
-def filter_reason(values: str = "g", min_present: int = MIN_PRESENT, min_frequency: float = MIN_FREQUENCY):
+def reason_by_counts(present: Column, n: Column, min_present: int = MIN_PRESENT, min_frequency: float = MIN_FREQUENCY) -> Column:
+    """Why a feature that `present` of n samples have isn't tested: constant or frequency_filter; null if it is."""
+    fewer = F.least(present, n - present)
+    return F.when(fewer == 0, "constant").when((fewer < min_present) | (fewer / n.cast("double") < min_frequency), "frequency_filter")
+
+
+def filter_reason(values: str = "g", min_present: int = MIN_PRESENT, min_frequency: float = MIN_FREQUENCY) -> Column:
     """Why a feature (an array of numbers) isn't tested: missing_values, constant or frequency_filter; null if it is."""
     g = F.col(values)
-    n = F.size(g)
     missing = F.exists(g, lambda v: v.isNull() | F.isnan(v))
     present = F.size(F.filter(g, lambda v: v != 0))
     binary = F.forall(g, lambda v: v.isin(0.0, 1.0))
-    rare = (present < min_present) | (n - present < min_present) | (F.least(present, n - present) / n < min_frequency)
-    return F.when(missing, "missing_values").when(F.array_min(g) == F.array_max(g), "constant").when(binary & rare, "frequency_filter")
+    return F.when(missing, "missing_values").when(F.array_min(g) == F.array_max(g), "constant").when(binary, reason_by_counts(present, F.size(g), min_present, min_frequency))
 
 
 def require_tier(pheno: DataFrame, tier: str, who: str) -> None:

@@ -108,11 +108,11 @@ def f9(spark, d):
     ),
 )
 def f10(spark, d):
+    from ..operators.censored import MIN_PRESENT, reason_by_counts
+
     n = sizes(spark, d)[0]
-    present = F.col("n_present")
-    rare = (present < 5) | (n - present < 5) | (F.least(present, n - present) / float(n) < 0.45)
     counts = V.feature_pa(spark, d).groupBy("feature_id").agg(F.count(F.lit(1)).alias("n_present"))
-    return counts.select("feature_id", "n_present", F.when(present == n, "constant").when(rare, "frequency_filter").alias("reason"))
+    return counts.select("feature_id", "n_present", reason_by_counts(F.col("n_present"), F.lit(n), MIN_PRESENT, 0.45).alias("reason"))
 
 
 LIMITS = {"completeness_min": 95, "contamination_max": 2, "length_mb": (4.5, 5.8), "max_contigs": 40, "lab_strain": "(?i)(K-?12|blue|red)"}
@@ -546,6 +546,27 @@ def m9(spark, d):
     return rounded(rho.orderBy(F.desc("rho"), "variant_id").limit(10), "rho")
 
 
+@query(
+    "x8_sex_check",
+    with_views(
+        "geno pheno",
+        """, x AS (SELECT variant_id FROM (SELECT DISTINCT variant_id, variant_id * 150000 AS pos FROM geno) WHERE variant_id % 2 = 0 AND pos NOT BETWEEN 60001 AND 2699520 AND pos NOT BETWEEN 154931044 AND 155260560),
+        c AS (SELECT sample_id, variant_id, dosage FROM geno JOIN x USING (variant_id)),
+        e AS (SELECT variant_id, 2 * avg(dosage) / 2 * (1 - avg(dosage) / 2) * (2 * count(*)) / (2 * count(*) - 1) AS e FROM c GROUP BY 1),
+        s AS (SELECT sample_id, count(*) AS n, count(*) FILTER (dosage = 1) AS het, sum(e) AS e FROM c JOIN e USING (variant_id) GROUP BY 1),
+        r AS (SELECT p.sample_id, coalesce(n, 0) AS n_x, round(het / n::DOUBLE, 6) AS x_het_rate, round(1 - het / nullif(e, 0), 6) AS x_inbreeding, CASE WHEN het / n::DOUBLE >= 0.35 THEN 2 ELSE 1 END AS inferred_sex, CAST(p.sample_id % 3 AS INTEGER) AS recorded_sex FROM pheno p LEFT JOIN s USING (sample_id))
+        SELECT *, CASE WHEN recorded_sex = 0 OR n_x = 0 THEN 'unknown' WHEN inferred_sex = recorded_sex THEN 'ok' ELSE 'problem' END AS status FROM r""",
+    ),
+)
+def x8(spark, d):
+    """Even variants lie on X, 150,000 bases a number apart, so some fall into a pseudo-autosomal region."""
+    cells = V.geno(spark, d)
+    v = F.col("variant_id")
+    variants = cells.select("variant_id").distinct().select("variant_id", F.when(v % 2 == 0, "chrX").otherwise("1").alias("chrom"), (v * 150_000).alias("pos"))
+    samples = V.pheno(spark, d).select("sample_id", (F.col("sample_id") % 3).cast("int").alias("recorded_sex"))
+    return rounded(qc.sex_check(cells, variants, samples, 0.35), "x_het_rate", "x_inbreeding")
+
+
 # ---------------------------------------------------------------------------------------------- models
 def matrix(spark, d):
     """variant, dosage: each variant's values in the order of samples, null where missing. And the samples, in that order."""

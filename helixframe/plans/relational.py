@@ -149,7 +149,7 @@ def e11(spark, d):
 @query("e20_is_binary", with_views("geno", " SELECT variant_id, count(v) > 0 AND bool_and(v IN (0, 1)) AS binary FROM (SELECT variant_id, CASE WHEN variant_id % 2 = 0 THEN dosage % 2 ELSE dosage END AS v FROM geno) GROUP BY 1"))
 def e20(spark, d):
     v = F.when(F.col("variant_id") % 2 == 0, F.col("dosage") % 2).otherwise(F.col("dosage"))
-    return V.geno(spark, d).select("variant_id", v.alias("v")).groupBy("variant_id").agg(((F.count("v") > 0) & F.bool_and(F.col("v").isin(0, 1))).alias("binary"))
+    return V.geno(spark, d).select("variant_id", v.alias("v")).groupBy("variant_id").agg(S.all_binary(F.col("v")).alias("binary"))
 
 
 @query("e24_mean_imputation", with_views("geno pheno", ", m AS (SELECT variant_id, avg(dosage) AS mean FROM geno GROUP BY 1) SELECT p.sample_id, m.variant_id, round(coalesce(g.dosage, mean), 6) AS dosage FROM pheno p CROSS JOIN m LEFT JOIN geno g ON g.sample_id = p.sample_id AND g.variant_id = m.variant_id"))

@@ -238,3 +238,34 @@ def test_streamed_pages(spark, tmp_path):
 
 def test_shown(spark):
     assert [r[0] for r in spark.createDataFrame([(0.123456,), (None,), (float("nan"),)], "x double").select(shown(F.col("x"))).collect()] == ["0.1235", "NA", "NA"]
+
+
+def test_sex_check_leaves_out_pseudo_autosomal_calls(spark):
+    from helixframe.operators.qc import sex_check, x_variants
+
+    places = [(0, "X", 60000), (1, "chrX", 60001), (2, "23", 2699520), (3, "x", 2699521), (4, "1", 5_000_000), (5, "X", 155_000_000), (6, None, 5_000_000), (7, "X", None)]
+    variants = spark.createDataFrame(places, "variant_id long, chrom string, pos long")
+    assert sorted(r.variant_id for r in x_variants(variants).collect()) == [0, 3]
+    assert sorted(r.variant_id for r in x_variants(variants, "b38").collect()) == [5]
+    # Sample 1 is heterozygous inside the regions alone, sample 2 outside, sample 3 isn't called on X.
+    calls = [(1, 0, 0), (1, 3, 2), (1, 1, 1), (1, 2, 1), (1, 5, 1), (2, 0, 1), (2, 3, 1), (3, 4, 1), (3, 0, None)]
+    cells = spark.createDataFrame(calls, "sample_id long, variant_id long, dosage long")
+    samples = spark.createDataFrame([(1, 1), (2, 1), (3, 2), (4, None)], "sample_id long, recorded_sex int")
+    found = {r.sample_id: r for r in sex_check(cells, variants.union(variants), samples, 0.5).collect()}
+    assert [(found[i].n_x, found[i].x_het_rate, found[i].inferred_sex, found[i].status) for i in (1, 2, 3, 4)] == [(2, 0.0, 1, "ok"), (2, 1.0, 2, "problem"), (0, None, 1, "unknown"), (0, None, 1, "unknown")]
+    # Frequencies 1/4 and 3/4 over two samples: 2 * 3/16 * 4/3 each, so one heterozygote is expected of both.
+    assert found[1].x_inbreeding == 1 and found[2].x_inbreeding == pytest.approx(-1.0) and found[3].x_inbreeding is None
+    assert sex_check(cells.limit(0), variants, samples, 0.5).count() == 4 and sex_check(cells, variants, samples.limit(0), 0.5).isEmpty()
+
+
+def test_reasons_by_counts_and_by_values_agree(spark):
+    from helixframe.functions.scalar import all_binary
+    from helixframe.operators.censored import filter_reason, reason_by_counts
+
+    rows = [(k, 40, [1.0] * k + [0.0] * (40 - k)) for k in (0, 3, 5, 20, 36, 40)] + [(20, 40, [None] + [0.5] * 39)]
+    df = spark.createDataFrame(rows, "k int, n int, g array<double>")
+    both = df.select(filter_reason("g", 5, 0.2).alias("a"), reason_by_counts(F.col("k"), F.col("n"), 5, 0.2).alias("b")).collect()
+    assert [r.a for r in both[:6]] == [r.b for r in both[:6]] == ["constant", "frequency_filter", "frequency_filter", None, "frequency_filter", "constant"] and both[6].a == "missing_values"
+    sums = df.select("k", F.explode("g").alias("v")).groupBy("k").agg(all_binary(F.col("v")).alias("x")).collect()
+    assert {r.k for r in sums if not r.x} == {20}
+    assert spark.createDataFrame([(None,), (float("nan"),)], "v double").agg(all_binary(F.col("v"))).first()[0] is False
