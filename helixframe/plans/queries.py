@@ -707,6 +707,18 @@ def m19(spark, d):
     return ld_clump(variants.select((k % 5).alias("gene_id"), "variant", ((k * 7919) % 103 / 103.0).alias("p"), "dosage"), "gene_id", 0.002)
 
 
+@query(
+    "m31_linkage_clusters",
+    walked("0", "variant_id")
+    + """, j AS (SELECT b AS v, min(a) AS f FROM r JOIN k ON k.v = r.a WHERE r2 > 0.002 AND b NOT IN (SELECT v FROM k) GROUP BY 1 UNION ALL SELECT v, v FROM k), n AS (SELECT v AS f, row_number() OVER (ORDER BY v) - 1 AS cluster FROM k)
+    SELECT CAST(v AS VARCHAR) AS feature_id, cluster, CAST(f AS VARCHAR) AS first FROM j JOIN n USING (f)""",
+)
+def m31(spark, d):
+    from ..operators.linkage import linkage_clusters
+
+    return linkage_clusters(matrix(spark, d)[0].select(F.col("variant").alias("feature_id"), F.col("dosage").alias("g"), F.col("variant").cast("int").alias("n")), "n", limit=0.002)
+
+
 def expression(spark, d):
     variants, samples = matrix(spark, d)
     k = F.col("variant").cast("long")
