@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from ..functions import scalar as S
 from ..operators import cohorts, evidence, joins, ranks
 from . import views as V
-from .queries import query, rounded
+from .queries import ORACLES, QUERIES, query, rounded
 from .views import with_views
 
 
@@ -217,14 +217,65 @@ def v3(spark, d):
     return rounded(calibrated(lambdas), "median_lambda")
 
 
-@query("v4_answer_key_direction", with_views("pvals", " SELECT count(*) AS n_pairs, round(avg(CAST(sign(p - 0.5) = sign(p - 0.45) AS DOUBLE)), 6) AS same_direction, 'PASS' AS status FROM pvals WHERE variant % 2 = 0"))
+@query("v4_answer_key_direction", with_views("pvals", " SELECT count(*) AS n_pairs, round(avg(CAST(sign(p - 0.5) = sign(p - 0.45) AS DOUBLE)), 6) AS same_direction, CASE WHEN count(*) >= 100 AND avg(CAST(sign(p - 0.5) = sign(p - 0.45) AS DOUBLE)) >= 0.9 THEN 'PASS' ELSE 'FAIL' END AS status, count(*) > 0 AND avg(CAST(sign(p - 0.5) = sign(p - 0.45) AS DOUBLE)) <= 0.1 AS possible_allele_flip FROM pvals WHERE variant % 2 = 0"))
 def v4(spark, d):
     from ..operators.validation import replicated_key
 
     p = V.pvals(spark, d)
     key = p.filter("variant % 2 = 0").select(F.col("chrom").alias("gene_id"), F.col("variant").alias("snp_id"), (F.col("p") - 0.5).alias("rho"))
     out = replicated_key(key, p.select(F.col("chrom").alias("gene_id"), "variant", (F.col("p") - 0.45).alias("effect")))
-    return rounded(spark.createDataFrame([(out["n_pairs"], out["same_direction"], out["status"])], "n_pairs long, same_direction double, status string"), "same_direction")
+    kept = ["n_pairs", "same_direction", "status", "possible_allele_flip"]
+    return rounded(spark.createDataFrame([tuple(out[k] for k in kept)], "n_pairs long, same_direction double, status string, possible_allele_flip boolean"), "same_direction")
+
+
+@query("v2_sex_check", f"SELECT CASE WHEN n > 0 AND ok / n::DOUBLE >= 0.99 THEN 'PASS' ELSE 'FAIL' END AS status, n AS n_compared, round(ok / nullif(n, 0)::DOUBLE, 6) AS concordance FROM (SELECT count(*) FILTER (recorded_sex IN (1, 2)) AS n, count(*) FILTER (recorded_sex IN (1, 2) AND inferred_sex = recorded_sex) AS ok FROM ({ORACLES['x8_sex_check']}))")
+def v2(spark, d):
+    from ..operators.qc import sex_concordance
+    from ..operators.validation import sex_check
+
+    out = sex_check(sex_concordance(QUERIES["x8_sex_check"](spark, d), "inferred_sex", "recorded_sex"))
+    return rounded(spark.createDataFrame([(out["status"], out["n_compared"], out["concordance"])], "status string, n_compared long, concordance double"), "concordance")
+
+
+#: What the scan of v5 is compared with: itself, a scan without some variants, and one whose effects are off by a thousandth.
+OTHERS = {"same": "true", "without some": "variant % 50 <> 0", "effects off": "true"}
+
+
+@query("v5_benchmark", with_views("pvals", """, a AS (SELECT variant, p - 0.7 AS effect, 0.1 + p AS se, p FROM pvals), o AS (SELECT unnest(['same', 'without some', 'effects off']) AS given),
+    b AS (SELECT given, variant, effect * CASE WHEN given = 'effects off' THEN 1.001 ELSE 1 END AS effect, se, p FROM o, a WHERE given <> 'without some' OR variant % 50 <> 0),
+    c AS (SELECT o.given, a.variant, abs(a.effect - b.effect) / greatest(abs(b.effect), 1e-12) AS effect, abs(a.se - b.se) / greatest(abs(b.se), 1e-12) AS se, abs(log10(greatest(a.p, 1e-300)) - log10(greatest(b.p, 1e-300))) AS l, b.variant IS NOT NULL AS there, -log10(greatest(b.p, 1e-300)) AS far FROM o CROSS JOIN a LEFT JOIN b ON b.given = o.given AND b.variant = a.variant),
+    r AS (SELECT given, count(*) FILTER (there) AS n, count(*) FILTER (NOT there) AS u, max(effect) AS effect, max(se) AS se, max(l) FILTER (there AND far < 30) AS l FROM c GROUP BY 1)
+    SELECT given, CASE WHEN n > 0 AND u = 0 AND effect <= 1e-4 AND se <= 1e-4 AND l <= 5e-3 THEN 'PASS' ELSE 'FAIL' END AS status, n AS n_compared, u AS n_unmatched, round(effect, 6) AS max_rel_effect, round(se, 6) AS max_rel_se, round(l, 6) AS max_abs_neglog10p FROM r"""))
+def v5(spark, d):
+    from ..operators.validation import benchmark
+
+    ours = V.pvals(spark, d).select("variant", (F.col("p") - 0.7).alias("effect"), (F.col("p") + 0.1).alias("se"), "p")
+    kept = ["status", "n_compared", "n_unmatched", "max_rel_effect", "max_rel_se", "max_abs_neglog10p"]
+    found = []
+    for given, rows in OTHERS.items():
+        theirs = ours.filter(rows).withColumn("effect", F.col("effect") * (1.001 if given == "effects off" else 1.0))
+        out = benchmark(ours, theirs)
+        found.append((given, *(out[k] for k in kept)))
+    made = spark.createDataFrame(found, "given string, status string, n_compared long, n_unmatched long, max_rel_effect double, max_rel_se double, max_abs_neglog10p double")
+    return rounded(made, "max_rel_effect", "max_rel_se", "max_abs_neglog10p")
+
+
+@query("v7_answer_key", with_views("pvals", """, h AS (SELECT variant, variant % 40 AS c, variant % 4 - 1 AS effect, p FROM pvals WHERE variant % 13 <> 0 AND p / 2 < 0.05),
+    b AS (SELECT c, min(p) AS best FROM h GROUP BY 1), f AS (SELECT c, effect FROM h WHERE variant % 7 = 3 ORDER BY p, variant LIMIT 1),
+    r AS (SELECT (SELECT count(*) FROM b WHERE best < x.best) + 1 AS k, effect > 0 AS c2 FROM f JOIN b x USING (c)),
+    a AS (SELECT unnest([0.75, 0.6, NULL]) AS auc), o AS (SELECT auc, k AS cluster_rank, coalesce(k <= 20, false) AS c1, coalesce(c2, false) AS c2, auc >= 0.7 AS c3 FROM a LEFT JOIN r ON true)
+    SELECT CAST(auc AS DOUBLE) AS auc, CASE WHEN c3 IS NULL AND c1 AND c2 THEN 'INCOMPLETE' WHEN c1 AND c2 AND c3 THEN 'PASS' ELSE 'FAIL' END AS status, c1, c2, c3, cluster_rank FROM o"""))
+def v7(spark, d):
+    from ..operators.validation import answer_key
+
+    p, v = V.pvals(spark, d), F.col("variant")
+    results = p.select(v.alias("feature_id"), F.when(v % 13 != 0, "ok").otherwise("degenerate").alias("status"), (v % 4 - 1).alias("effect"), F.col("p").alias("p_value"), (F.col("p") / 2).alias("q_value"))
+    clusters, key = p.select(v.alias("feature_id"), (v % 40).alias("cluster")), p.filter("variant % 7 = 3").select(v.alias("feature_id"))
+    found = []
+    for auc in (0.75, 0.6, None):
+        out = answer_key(results, clusters, key, auc)
+        found.append((auc, out["status"], *out["criteria"].values(), out["cluster_rank"]))
+    return spark.createDataFrame(found, "auc double, status string, c1 boolean, c2 boolean, c3 boolean, cluster_rank long")
 
 
 @query("v10_separation_guard", with_views("cohort_records", """, g AS (SELECT genome_id, count(*) AS n, min(CASE record_tier WHEN 'discovery' THEN 1 WHEN 'replication' THEN 2 ELSE 3 END) AS t FROM cohort_records GROUP BY 1)
