@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from ..functions.scalar import fisher_interval
 from ..runtime import cut, discard, ship, written
 from .association import values_of
-from .blocks import against_itself
+from .blocks import PARTS, against_itself
 from .ranks import numbered
 from .sums import summed
 
 #: Numbers that one round of bootstrap draws adds up, samples of a block, and half rounds of a permutation.
-NUMBERS, BLOCK_SAMPLES, HALF_ROUNDS = 1 << 21, 2048, 24
+NUMBERS, BLOCK_SAMPLES, HALF_ROUNDS = 1 << 21, 1 << 15, 24
+#: Bytes of measurements that one task may hold, samples of a block and draws that it looks up at a time.
+HELD, AT_ONCE, DRAWS = 1 << 28, 1024, 64
 PRIMARY = "mean per-gene Pearson r"
 
 
@@ -76,9 +78,9 @@ def score_evaluation(rows: DataFrame, genes: list[str], n_permutations: int = 10
 
     rows: sample_id, score and measured, arrays by gene in the order of genes, a row a sample. A bootstrap draw counts
     each sample a Poisson number of times, and its correlations come from sums over partitions; a permutation pairs the scores of
-    each sample with what was measured on another, the same one for all genes. Its sum runs over the products of all
-    scores with all measurements, which blocks of samples form once for all draws, so n samples are sent n / BLOCK_SAMPLES
-    times. Draws depend on seed and the order of sample_id, not on partitions.
+    each sample with what was measured on another, the same one for all genes. Where a sample goes is found once for each
+    part of the measurements (HELD bytes, so one part for most cohorts), which are read for each block of scores.
+    Draws depend on seed and the order of sample_id, not on partitions.
 
     A gene whose score or measurement doesn't vary has r null and isn't counted; a draw in which one doesn't leaves it out.
     Missing numbers are refused, as are fewer than two samples; the interval needs four.
@@ -123,20 +125,41 @@ def score_evaluation(rows: DataFrame, genes: list[str], n_permutations: int = 10
 
     shuffles = keyed(seed, 0, np.arange(n_permutations))
 
-    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-        products = standard(a)[0] @ standard(b)[1].T / ((n - 1) * k)
-        own, others = a.column("idx").to_numpy(), b.column("idx").to_numpy()
-        order = np.argsort(others)
-        others, products = others[order], products[:, order]
-        total = np.zeros(n_permutations)
-        for low in range(0, n_permutations, 64):
-            goes = permuted(own, n, shuffles[low : low + 64])
-            at = np.minimum(np.searchsorted(others, goes), max(len(others) - 1, 0))
-            draw, i = np.nonzero(others[at] == goes) if len(others) else (np.empty(0, np.int64),) * 2
-            total[low : low + 64] += np.bincount(draw, products[i, at[draw, i]], minlength=len(goes))
-        return pa.table({"i": np.arange(n_permutations), "value": total})
-
-    parts = against_itself(placed, "idx", BLOCK_SAMPLES, meet, "i long, value double")
+    def paired(own: np.ndarray, x: np.ndarray, at: np.ndarray, y: np.ndarray, total: np.ndarray) -> None:
+        """Adds to each draw the products of the scores x of samples `own` with the measurement that the draw gives them, if it is in y."""
+        for i in range(0, len(own), AT_ONCE):
+            for low in range(0, n_permutations, DRAWS):
+                other = at[permuted(own[i : i + AT_ONCE], n, shuffles[low : low + DRAWS])]
+                found = y[other]  # what isn't here is in the last row, of zeros
+                total[low : low + DRAWS] += np.einsum("dsk,sk->d", found, x[i : i + AT_ONCE])
+
+    def meet(pairs):
+        total, own, x, others, at, y = np.zeros(n_permutations), None, None, [], None, None
+        last = None
+
+        def finish():
+            nonlocal at, y
+            if y is None:  # the same measurements for all blocks of scores that the task has
+                at = np.full(n, -1, np.int64)
+                idx = np.concatenate([i for i, _ in others])
+                at[idx] = np.arange(len(idx))
+                y = np.concatenate([v for _, v in others] + [np.zeros((1, k))])
+                others.clear()
+            paired(own, x, at, y, total)
+
+        for a, b in pairs:
+            if last is not a:
+                if last is not None:
+                    finish()
+                last, own, x = a, a.column("idx").to_numpy(), standard(a)[0]
+            if y is None:
+                others.append((b.column("idx").to_numpy(), standard(b)[1]))
+        if last is not None:
+            finish()
+            yield pa.table({"i": np.arange(n_permutations), "value": total / ((n - 1) * k)})
+
+    block = min(BLOCK_SAMPLES, 1 + n // PARTS)
+    parts = against_itself(placed, "idx", block, meet, "i long, value double", right_parts=1 + 8 * n * k // HELD)
     null = parts.groupBy("i").agg(F.sum("value").alias("value")).select(F.lit("null").alias("kind"), "i", "value")
     draws = cut(null.union(spark.createDataFrame([("boot", i, float(v)) for i, v in enumerate(boot)], "kind string, i long, value double")))
     discard(placed)
