@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import off_grid, parse_mic
+from ..runtime import cut
 
 
 class BreakpointUnverified(RuntimeError):
@@ -47,11 +48,15 @@ def distribution(records: DataFrame) -> DataFrame:
 
 
 def extreme_contrast(records: DataFrame) -> DataFrame:
-    """records and extreme_contrast: 0 for upper bounds under all lower bounds, 1 for lower bounds over all of those, else null."""
+    """records and extreme_contrast: 0 for upper bounds under all lower bounds, 1 for lower bounds over all of those, else null.
+
+    The bounds that occur are few, as assays use dilution steps, so they are found in one pass, and the limits among them.
+    """
     left, right = F.col("mic_parse_ok") & (F.col("censoring") == "left"), F.col("mic_parse_ok") & (F.col("censoring") == "right")
-    lowest = records.agg(F.min(F.when(right, F.col("log2_boundary"))).alias("_least_right"))
+    bounds = cut(records.select("mic_parse_ok", "censoring", "log2_boundary").distinct())
+    lowest = bounds.agg(F.min(F.when(right, F.col("log2_boundary"))).alias("_least_right"))
     out = records.crossJoin(F.broadcast(lowest))  # one row
-    highest = out.agg(F.max(F.when(left & (F.col("log2_boundary") < F.col("_least_right")), F.col("log2_boundary"))).alias("_most_low"))
+    highest = bounds.crossJoin(F.broadcast(lowest)).agg(F.max(F.when(left & (F.col("log2_boundary") < F.col("_least_right")), F.col("log2_boundary"))).alias("_most_low"))
     out = out.crossJoin(F.broadcast(highest))  # one row
     low, high = left & (F.col("log2_boundary") < F.col("_least_right")), right & (F.col("log2_boundary") > F.col("_most_low"))
     return out.withColumn("extreme_contrast", F.when(F.col("_most_low").isNotNull() & low, 0.0).when(high, 1.0)).drop("_least_right", "_most_low")
