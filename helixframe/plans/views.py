@@ -12,15 +12,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def geno(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """sample_id, variant_id, dosage: cells that are there; the others are missing."""
+def geno(spark: SparkSession, sf_dir: str, whole_samples: bool = False) -> DataFrame:
+    """sample_id, variant_id, dosage: cells that are there; the others are missing. whole_samples: all cells of a sample lie in one partition."""
     lines = read(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_partkey") % N_VARIANTS).cast("long").alias("variant_id"), "l_quantity")
     orders = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").cast("long").alias("sample_id"))
-    return (
-        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .groupBy("sample_id", "variant_id")
-        .agg((F.sum("l_quantity").cast("long") % 3).cast("long").alias("dosage"))
-    )
+    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    if whole_samples:
+        joined = joined.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "sample_id")
+    return joined.groupBy("sample_id", "variant_id").agg((F.sum("l_quantity").cast("long") % 3).cast("long").alias("dosage"))
 
 
 def pheno(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from helixframe.operators import qc
 from helixframe.operators.association import scan_by_sums
 from helixframe.plans import views
+from helixframe.runtime import discard, written
 
 from .common import log, main, write
 
@@ -29,7 +30,7 @@ def release(spark: SparkSession, tables: str, output: str, config: dict) -> dict
     A sample without genotypes fails, as does a variant that no passing sample has; both are written. Rates of variants
     are over the passing samples. No sample or an empty table gives empty or failing rows, not an error.
     """
-    samples, cells = views.pheno(spark, tables), views.geno(spark, tables)
+    samples, cells = views.pheno(spark, tables), written(views.geno(spark, tables, whole_samples=True))  # joined and added up once; each step reads it
     n_cells, n_variants = cells.agg(F.count(F.lit(1)), F.count_distinct("variant_id")).first()
     log.info("read %s genotypes of %s variants from %s", n_cells, n_variants, tables)
     judged = qc.sample_pass(qc.sample_metrics(cells, samples, views.N_VARIANTS), config["min_call_rate"], config["max_het_sd"])
@@ -46,7 +47,9 @@ def release(spark: SparkSession, tables: str, output: str, config: dict) -> dict
     out = metrics.select(F.col("variant_id").cast("string").alias("variant"), "n_called", "missing_rate", "maf", "qc_pass").join(found, "variant", "left")
     out = placed(out, views.variant_meta(spark, tables)).withColumn("status", F.coalesce("status", F.lit("qc_fail")))
     names = ["variant", "pos", "n_called", "missing_rate", "maf", "status", "n", "effect", "se", "stat", "p", "fdr_bh", "chrom"]
-    return {"genotypes": n_cells, "samples": n_samples, "variants": write(out.select(names), f"{output}/variants", "chrom")}
+    n_out = write(out.select(names), f"{output}/variants", "chrom")
+    discard(cells)
+    return {"genotypes": n_cells, "samples": n_samples, "variants": n_out}
 
 
 if __name__ == "__main__":

@@ -28,3 +28,14 @@ def test_rules_are_asked_of_each_kind_of_card(spark, monkeypatch):
     wrong = evidence.build_cards(hits, context).withColumn("scope", F.when(F.col("card_id") == "7", "other").otherwise(F.col("scope")))
     with pytest.raises(evidence.EvidenceCardError, match="1 problems.*7: schema: scope"):
         evidence.require_valid(wrong.unionByName(wrong.limit(0)))
+
+
+def test_the_release_adds_up_genotypes_once(spark, tmp_path, monkeypatch):
+    from jobs import association_release as job
+    from jobs.common import settings
+
+    seen = []
+    metrics = job.qc.sample_metrics
+    monkeypatch.setattr(job.qc, "sample_metrics", lambda cells, *rest: seen.append(cells.inputFiles()) or metrics(cells, *rest))
+    job.release(spark, SMALLEST, str(tmp_path), settings("association_release"))
+    assert seen and seen[0] and all("/tables/" in f and "lineitem" not in f for f in seen[0])
