@@ -11,6 +11,11 @@ from helixframe.plans import queries as Q
 SMALLEST = "/root/testdata/sf0.001"
 
 
+def test_samples_of_one_partition_are_added_up_there(spark):
+    plan = Q.by_sample(spark, SMALLEST)._jdf.queryExecution().toString()
+    assert "variant_id" in plan and not [x for x in plan.splitlines() if "Exchange hashpartitioning(sample_id" in x and "variant_id" in x.split("]")[0].split("ENSURE")[0].split("hashpartitioning")[1].split(")")[0]]
+
+
 def test_a_measurement_is_parsed_once(spark):
     df = spark.createDataFrame([("<=1",)], "measurement string")
     plan = assays.extreme_contrast(assays.parsed(df)).select("extreme_contrast")._jdf.queryExecution().optimizedPlan().toString()
