@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..runtime import cut, discard, ship, written
 from .ranks import numbered
-from .structure import thinned, unit_rows, values_of
+from .structure import squared_correlations, thinned, unit_rows, values_of
 
 #: Values of the features that a round starts with, which the driver and every task hold; and results kept apart at most.
 CELLS, APART = 1 << 21, 16
@@ -39,6 +39,23 @@ def assigned(starts: np.ndarray, unit: np.ndarray, base: int, samples: int, limi
     return go
 
 
+def clusters_of_samples(rows: DataFrame, names: list[str], limit: float = 0.95) -> DataFrame:
+    """linkage_clusters of features that lie in sample rows (dosage, an array by feature), named and ordered as in names.
+
+    For many samples and few features: r2 comes from squared_correlations, so samples stay where they are and are read once.
+    """
+    spark = rows.sparkSession
+    ship(spark)
+    r2, starts, out = squared_correlations(rows), [], []
+    for j in range(len(r2)):
+        hit = [i for i, s in enumerate(starts) if r2[s, j] >= limit]
+        if not hit:
+            starts.append(j)
+        cluster = hit[0] if hit else len(starts) - 1
+        out.append((names[j], cluster, names[starts[cluster]]))
+    return spark.createDataFrame(out, "feature_id string, cluster long, first string")
+
+
 def linkage_clusters(features: DataFrame, *order: str, limit: float = 0.95) -> DataFrame:
     """feature_id, cluster (from 0) and first (feature_id) of features (feature_id, g array<double>), by a total order (feature_id if none is given).
 

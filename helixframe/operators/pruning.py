@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..runtime import cut, discard, ship, written
-from .structure import unit_rows, values_of
+from .structure import squared_correlations, unit_rows, values_of, walked
 
 #: Dosages of a block without its halo, rows of a block at most, rows that meet those before them at a time, and rows of a run.
 CELLS, BLOCK, TILE, RUN = 1 << 22, 1 << 14, 256, 1 << 15
@@ -108,3 +108,30 @@ def ld_prune(features: DataFrame, reach: int = 50, limit: float = 0.2) -> DataFr
     while not walk.filter("kept is null").isEmpty():
         walk = cut(with_halo(walk, run, reach).groupBy("chrom", "_block").applyInArrow(settled(run), T.StructType(fields)))
     return walk.filter("kept").select("chrom", "variant", "pos")
+
+
+def prune_samples(rows: DataFrame, places: list[tuple], reach: int = 50, limit: float = 0.2) -> DataFrame:
+    """ld_prune of features that lie in sample rows (dosage, an array by feature), whose (chrom, pos, variant) places gives.
+
+    For many samples and few features: r2 comes from squared_correlations, so no task holds a feature's samples.
+    """
+    if reach < 1:
+        raise ValueError("reach is a number of features, one or more")
+    spark = rows.sparkSession
+    ship(spark)
+    r2, kept = squared_correlations(rows), []
+    for chrom in sorted({p[0] for p in places}):
+        order = sorted((j for j, p in enumerate(places) if p[0] == chrom), key=lambda j: places[j][1:])
+        kept += [places[j] for j in walked(r2, order, limit, reach)]
+    return spark.createDataFrame([(c, v, p) for c, p, v in kept], "chrom string, variant string, pos long")
+
+
+def clump_samples(rows: DataFrame, places: list[tuple], limit: float = 0.1) -> DataFrame:
+    """structure.ld_clump of features that lie in sample rows, whose (gene_id, p, variant) places gives."""
+    spark = rows.sparkSession
+    ship(spark)
+    r2, kept = squared_correlations(rows), []
+    for gene in sorted({p[0] for p in places}):
+        order = sorted((j for j, p in enumerate(places) if p[0] == gene), key=lambda j: places[j][1:])
+        kept += [(gene, places[j][2]) for j in walked(r2, order, limit)]
+    return spark.createDataFrame(kept, "gene_id int, variant string")

@@ -256,6 +256,50 @@ def projected_components(rows: DataFrame, k: int = 10) -> tuple[DataFrame, np.nd
     return pcs.select("sample_id", *turned), kept / max(whole, 1e-300)
 
 
+def squared_correlations(rows: DataFrame) -> np.ndarray:
+    """The r2 of all pairs of features, from sample rows: one column, dosage, an array<double> by feature; missing values at the mean.
+
+    Each partition adds up products of features and of what is there, so no task holds a feature's samples: the sums are
+    of the number of features squared, whatever the samples, and exact for integer dosages. A feature that doesn't vary has
+    NaN on the diagonal and 0 elsewhere. Beyond DENSE_LIMIT features it is refused.
+    """
+    first = rows.select(F.size("dosage")).first()
+    wide = first[0] if first else 0
+    if wide > DENSE_LIMIT:
+        raise ValueError(f"a dense matrix of {wide} features; the limit is {DENSE_LIMIT}")
+
+    def own(b: pa.RecordBatch) -> np.ndarray:
+        g = values_of(b.column("dosage"), wide)
+        there = np.isfinite(g)
+        x = np.hstack([np.where(there, g, 0.0), there])
+        return (x.T @ x).ravel()
+
+    both = summed(rows.select("dosage"), own, 4 * wide * wide).reshape(2 * wide, 2 * wide)
+    xx, xm, mm = both[:wide, :wide], both[:wide, wide:], both[wide:, wide:]
+    mean = np.diag(xm) / np.maximum(np.diag(mm), 1.0)
+    cross = xx - xm * mean - (xm * mean).T + mm * np.outer(mean, mean)
+    size = np.diag(cross)
+    varies = size > 1e-12 * np.diag(xx)
+    scale = np.where(varies, size, 1.0)
+    r2 = np.where(np.outer(varies, varies), cross * cross / np.outer(scale, scale), 0.0)
+    r2[np.diag_indices(wide)] = np.where(varies, 1.0, np.nan)
+    return r2
+
+
+def walked(r2: np.ndarray, order: list[int], limit: float, reach: int | None = None) -> list[int]:
+    """Features kept on a walk in the order given: one goes if its r2 with one kept (among the last `reach`, if given) is above limit, or if it doesn't vary."""
+    kept: list[int] = []
+    places: list[int] = []
+    varying = [j for j in order if not np.isnan(r2[j, j])]
+    at = {j: i for i, j in enumerate(order)}
+    for j in varying:
+        near = [k for k, p in zip(kept, places, strict=True) if reach is None or at[j] - p <= reach]
+        if not near or r2[near, j].max() <= limit:
+            kept.append(j)
+            places.append(at[j])
+    return kept
+
+
 def principal_coordinates(distance: np.ndarray, k: int = 5) -> np.ndarray:
     """Coordinates whose distances come nearest to those given; at most DENSE_LIMIT rows."""
     n = len(distance)

@@ -11,6 +11,40 @@ from helixframe.plans import queries as Q
 SMALLEST = "/root/testdata/sf0.001"
 
 
+@pytest.fixture(scope="module")
+def dosages():
+    """Dosages of 40 features by 120 samples, each much like the one before; some missing, two without variation, one never there."""
+    rng = np.random.default_rng(5)
+    g = rng.binomial(2, 0.4, (40, 120)).astype(float)
+    for j in range(1, 40):
+        g[j] = np.where(rng.random(120) < 0.3, g[j], g[j - 1])
+    g[rng.random(g.shape) < 0.03] = np.nan
+    g[7], g[19], g[23] = 1, 2, np.nan
+    return g
+
+
+def sample_rows(spark, g, **more):
+    rows = [(i, [None if np.isnan(x) else float(x) for x in v], *(c[i] for c in more.values())) for i, v in enumerate(g.T)]
+    return spark.createDataFrame(rows, "sample_id long, x array<double>" + "".join(f", {k} {'string' if isinstance(c[0], str) else 'double'}" for k, c in more.items())).repartition(5)
+
+
+def test_pruning_clumping_and_clusters(spark, dosages):
+    rows = sample_rows(spark, dosages).withColumnRenamed("x", "dosage")
+    unit, varies = structure.unit_rows(dosages)
+    assert not varies[[7, 19, 23]].any()
+    for reach in (2, 50):
+        found = pruning.prune_samples(rows, [("1", j, f"v{j:02d}") for j in range(40)], reach, 0.2).collect()
+        assert [r.pos for r in found] == structure.thinned(unit, varies, 0.2, reach)
+    with pytest.raises(ValueError, match="reach"):
+        pruning.prune_samples(rows, [], 0)
+    p = [j * 7 % 11 for j in range(40)]
+    arrays = spark.createDataFrame([(j % 3, f"v{j:02d}", float(p[j]), [None if np.isnan(x) else float(x) for x in dosages[j]]) for j in range(40)], "gene_id int, variant string, p double, dosage array<double>")
+    want = {tuple(r) for r in structure.ld_clump(arrays, "gene_id", 0.2).collect()}
+    assert {tuple(r) for r in pruning.clump_samples(rows, [(j % 3, p[j], f"v{j:02d}") for j in range(40)], 0.2).collect()} == want
+    clusters = structure.linkage_clusters(dosages, 0.3)
+    assert [r.cluster for r in linkage.clusters_of_samples(rows, [f"v{j:02d}" for j in range(40)], 0.3).collect()] == clusters.tolist()
+
+
 def test_samples_of_one_partition_are_added_up_there(spark):
     plan = Q.by_sample(spark, SMALLEST)._jdf.queryExecution().toString()
     assert "variant_id" in plan and not [x for x in plan.splitlines() if "Exchange hashpartitioning(sample_id" in x and "variant_id" in x.split("]")[0].split("ENSURE")[0].split("hashpartitioning")[1].split(")")[0]]
