@@ -33,6 +33,8 @@ class Design:
 
     y: np.ndarray
     base: np.ndarray
+    #: How many samples each row stands for; one if not given.
+    times: np.ndarray | None = None
 
     @classmethod
     def of(cls, y, covariates=None) -> Design:
@@ -68,14 +70,17 @@ def ols_batch(g: np.ndarray, d: Design) -> tuple[np.ndarray, ...]:
 
 def logistic_batch(g: np.ndarray, d: Design) -> tuple[np.ndarray, ...]:
     """n, effect, se, df, status of features without missing values: Newton steps for all of them at once."""
-    count, n, k = len(g), len(d.y), d.base.shape[1] + 1
+    count, k = len(g), d.base.shape[1] + 1
+    times = np.ones(len(d.y)) if d.times is None else d.times
+    n = int(times.sum())
     status = np.full(count, "no_convergence", object)
     b, error = np.zeros((count, k)), np.full(count, np.nan)
     flat = np.ptp(g, axis=1) == 0 if n else np.ones(count, bool)
     if n < 5 or d.y.min() == d.y.max():
         flat[:] = True
     status[flat] = "degenerate"
-    b[:, 0] = np.log(d.y.mean() / (1 - d.y.mean())) if n and 0 < d.y.mean() < 1 else 0
+    share = times @ d.y / n if n else 0
+    b[:, 0] = np.log(share / (1 - share)) if 0 < share < 1 else 0
     before, live = np.full(count, np.inf), np.flatnonzero(~flat)
     for _ in range(STEPS):
         if not len(live):
@@ -93,21 +98,21 @@ def logistic_batch(g: np.ndarray, d: Design) -> tuple[np.ndarray, ...]:
         mu = means(b[live])
         w = mu * (1 - mu)
         apart = (w < TINY_WEIGHT).any(axis=1) & (np.abs(b[live]).max(axis=1) > FAR)
-        h = information(w)
+        h = information(w * times)
         apart |= ~np.isfinite(h).all(axis=(1, 2)) | (np.linalg.matrix_rank(np.nan_to_num(h)) < k)
         status[live[apart]] = "separation"
         live, own, h, mu = live[~apart], own[~apart], h[~apart], mu[~apart]
         if not len(live):
             break
-        rest = d.y - mu
+        rest = (d.y - mu) * times
         slope = np.column_stack([rest @ d.base, (rest * own).sum(axis=1)])
         b[live] += np.linalg.solve(h, slope[:, :, None])[:, :, 0]
         mu = np.clip(means(b[live]), 1e-15, 1 - 1e-15)
-        deviance = -2 * (np.log(mu) @ d.y + np.log(1 - mu) @ (1 - d.y))
+        deviance = -2 * (np.log(mu) @ (times * d.y) + np.log(1 - mu) @ (times * (1 - d.y)))
         done = np.abs(before[live] - deviance) < TOLERANCE * (np.abs(deviance) + 0.1)
         before[live] = deviance
         if done.any():
-            error[live[done]] = np.sqrt(np.linalg.pinv(information(mu * (1 - mu))[done])[:, -1, -1])
+            error[live[done]] = np.sqrt(np.linalg.pinv(information(mu * (1 - mu) * times)[done])[:, -1, -1])
             status[live[done]] = "ok"
             live = live[~done]
     effect = b[:, -1]
@@ -235,6 +240,32 @@ def scan_by_sums(cells: DataFrame, samples: DataFrame, outcome: str, covariates:
     return adjusted(found, "p", "variant").withColumn("neglog10p", neglog10p(F.col("p"))).select(*NAMES, "neglog10p", "bonferroni", "fdr_bh")
 
 
+def scan_by_counts(cells: DataFrame, samples: DataFrame, outcome: str, covariates: tuple[str, ...] = (), alpha: float = ALPHA) -> DataFrame:
+    """The logistic scan() of genotypes in long form: cells (variant, sample_id, dosage) and samples (sample_id and the columns named).
+
+    Samples of a variant that are alike in dosage, outcome and covariates count as one row of so many, and the fit takes
+    these rows: exact, and where covariates have few values a task holds few rows however many samples there are. A variant is
+    fitted on the samples whose values are all there; one without any has a status. Samples must not repeat; the outcome is 0 or 1.
+    """
+    ship(cells.sparkSession)
+    names = [outcome, *covariates]
+    side = samples.select("sample_id", *(F.col(c).cast("double").alias(f"_z{i}") for i, c in enumerate(names)))
+    if not side.filter(~F.col("_z0").isin(0.0, 1.0)).isEmpty():
+        raise ValueError("a logistic outcome is coded 0 and 1")
+    joined = cells.select(F.col("variant").cast("string").alias("variant"), "sample_id", F.col("dosage").cast("double").alias("_x")).join(side, "sample_id", "left")
+    columns = ["_x", *(f"_z{i}" for i in range(len(names)))]
+    alike = joined.groupBy("variant", *columns).agg(F.count(F.lit(1)).cast("double").alias("_n"))
+
+    def fit(t: pa.Table) -> pa.Table:
+        x, y, *z, n = (t.column(c).to_numpy(zero_copy_only=False).astype(float) for c in (*columns, "_n"))
+        has = np.isfinite(np.column_stack([x, y, *z])).all(axis=1)
+        d = Design(y[has], np.column_stack([np.ones(has.sum()), *(c[has] for c in z)]), n[has])
+        return pa.Table.from_batches([rows([t.column("variant")[0].as_py()], *logistic_batch(x[None, has], d), "logistic-Wald", alpha)])
+
+    found = alike.groupBy("variant").applyInArrow(fit, RESULT)
+    return adjusted(found, "p", "variant").withColumn("neglog10p", neglog10p(F.col("p"))).select(*NAMES, "neglog10p", "bonferroni", "fdr_bh")
+
+
 def simple_regression(pairs: DataFrame, key: str, x: str, y: str) -> DataFrame:
     """Regression of y on x alone for each key, from sums: n, effect, se, stat, df, status. Pairs with a null are left out."""
     both = pairs.filter(F.col(x).isNotNull() & F.col(y).isNotNull())

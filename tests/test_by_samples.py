@@ -45,6 +45,23 @@ def test_pruning_clumping_and_clusters(spark, dosages):
     assert [r.cluster for r in linkage.clusters_of_samples(rows, [f"v{j:02d}" for j in range(40)], 0.3).collect()] == clusters.tolist()
 
 
+def test_logistic_scan_by_counts(spark, dosages):
+    rng = np.random.default_rng(1)
+    z = rng.integers(0, 4, 120).astype(float)
+    y = (rng.random(120) < 1 / (1 + np.exp(-(np.nan_to_num(dosages[3]) - 1 + z / 4)))).astype(float)
+    arrays = spark.createDataFrame([(str(j), [None if np.isnan(x) else float(x) for x in v]) for j, v in enumerate(dosages)], "variant string, dosage array<double>")
+    cells = spark.createDataFrame([(str(j), i, None if np.isnan(x) else float(x)) for j, v in enumerate(dosages) for i, x in enumerate(v)], "variant string, sample_id long, dosage double")
+    samples = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(y, z, strict=True))], "sample_id long, y double, z double")
+    want = {r.variant: r for r in association.scan(arrays, y, z[:, None]).collect()}
+    found = {r.variant: r for r in association.scan_by_counts(cells, samples, "y", ("z",)).collect()}
+    assert set(found) == set(want) and found["23"].status == "degenerate" and found["3"].status == "ok"
+    for k, r in found.items():
+        for c, v in r.asDict().items():
+            assert want[k][c] == (pytest.approx(v, rel=1e-6) if isinstance(v, float) else v), (k, c)
+    with pytest.raises(ValueError, match="0 and 1"):
+        association.scan_by_counts(cells, samples.withColumn("y", F.col("y") * 2), "y")
+
+
 def test_samples_of_one_partition_are_added_up_there(spark):
     plan = Q.by_sample(spark, SMALLEST)._jdf.queryExecution().toString()
     assert "variant_id" in plan and not [x for x in plan.splitlines() if "Exchange hashpartitioning(sample_id" in x and "variant_id" in x.split("]")[0].split("ENSURE")[0].split("hashpartitioning")[1].split(")")[0]]
