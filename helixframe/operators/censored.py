@@ -81,12 +81,31 @@ def fit_censored(y: Outcome, x: np.ndarray, start: Fit | None = None) -> Fit:
     if start is None:
         guess = y.guess()
         beta = np.linalg.lstsq(x, guess, rcond=None)[0]
-        sigma = max(float(np.std(guess - x @ beta)), 1e-3)
+        search = censored_search(beta, max(float(np.std(guess - x @ beta)), 1e-3), len(x))
     else:
-        beta, sigma = np.append(start.beta, np.zeros(k - len(start.beta))), math.exp(start.log_sigma)
-    point, n = np.append(beta, 1.0) / sigma, len(x)
+        search = censored_search(*started(start, k), len(x))
+    point = next(search)
+    while True:
+        try:
+            point = search.send(y.derivatives(point[:k], point[k], x))
+        except StopIteration as end:
+            return end.value
+
+
+def started(start: Fit, k: int) -> tuple[np.ndarray, float]:
+    """Where a fit of k coefficients starts from one of fewer."""
+    return np.append(start.beta, np.zeros(k - len(start.beta))), math.exp(start.log_sigma)
+
+
+def censored_search(beta: np.ndarray, sigma: float, n: int):
+    """The Newton steps of a fit of n samples: gives points (gamma, theta), takes their value, gradient and Hessian, and ends with the Fit.
+
+    It doesn't know the samples, so these may be one array or lie in many tasks.
+    """
+    k = len(beta)
+    point = np.append(beta, 1.0) / sigma
     status, damping = "no_convergence", 0.0
-    value, grad, hess = y.derivatives(point[:k], point[k], x)
+    value, grad, hess = yield point
     for _ in range(STEPS):
         if np.abs(grad).max() < TOLERANCE * max(1.0, n):
             status = "ok"
@@ -103,7 +122,7 @@ def fit_censored(y: Outcome, x: np.ndarray, start: Fit | None = None) -> Fit:
         while size > 1e-6:
             new = point + size * step
             if new[k] > 0:
-                value2, grad2, hess2 = y.derivatives(new[:k], new[k], x)
+                value2, grad2, hess2 = yield new
                 if np.isfinite(value2) and np.isfinite(grad2).all() and np.isfinite(hess2).all() and value2 >= value - 1e-12:
                     point, value, grad, hess, moved = new, value2, grad2, hess2, True
                     break

@@ -62,6 +62,36 @@ def test_logistic_scan_by_counts(spark, dosages):
         association.scan_by_counts(cells, samples.withColumn("y", F.col("y") * 2), "y")
 
 
+@pytest.mark.parametrize("adjusted", [False, True])
+def test_censored_association_and_replication(spark, dosages, adjusted):
+    rng = np.random.default_rng(2)
+    g = np.where(np.isnan(dosages), np.nan, dosages == 2)
+    g[30:] = np.nan_to_num(g[30:])
+    lineage = rng.integers(0, 2, 120).astype(float)
+    y = np.nan_to_num(g[35]) + lineage + rng.normal(size=120)
+    low, high = np.where(np.arange(120) % 3 == 1, -np.inf, y), np.where(np.arange(120) % 3 == 2, np.inf, y)
+    names = [(f"v{j}", "gene") for j in range(40)]
+    arrays = spark.createDataFrame([(*names[j], [None if np.isnan(x) else float(x) for x in g[j]]) for j in range(40)], "feature_id string, feature_type string, g array<double>")
+    for tier in ("discovery", "replication"):
+        pheno = spark.createDataFrame([(i, float(low[i]), float(high[i]), tier) for i in range(120)], "sample_idx long, log2_lower double, log2_upper double, cohort_tier string")
+        rows = sample_rows(spark, np.vstack([g, lineage]), low=low.tolist(), high=high.tolist(), cohort_tier=[tier] * 120)
+        column, place = (lineage[:, None], (40,)) if adjusted else (None, ())
+        if tier == "discovery":
+            want, others = censored.association(arrays, pheno, column, "0" * 64)
+            found, left = rowwise.association_rows(rows, names, "0" * 64, place)
+            assert {tuple(r) for r in left.collect()} == {tuple(r) for r in others.collect()}
+            hits = found.select("feature_id", "status", "effect", "q_value")
+        else:
+            want = censored.replication(hits, arrays.filter("feature_id <> 'v35'"), pheno, column, 1.1)
+            found = rowwise.replication_rows(hits, rows, {n: j for j, (n, _) in enumerate(names) if n != "v35"}, place, 1.1)
+            assert {r.feature_id: r.status for r in found.collect()}["v35"] == "not_testable"
+        want, found = ({r.feature_id: r.asDict() for r in df.collect()} for df in (want, found))
+        assert set(found) == set(want) and len(found) >= 10
+        for k, r in found.items():
+            for c, v in want[k].items():
+                assert r[c] == (pytest.approx(v, rel=1e-4, abs=1e-6) if isinstance(v, float) else v), (k, c)
+
+
 def test_samples_of_one_partition_are_added_up_there(spark):
     plan = Q.by_sample(spark, SMALLEST)._jdf.queryExecution().toString()
     assert "variant_id" in plan and not [x for x in plan.splitlines() if "Exchange hashpartitioning(sample_id" in x and "variant_id" in x.split("]")[0].split("ENSURE")[0].split("hashpartitioning")[1].split(")")[0]]
