@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import cut, id_bucket, ship, text_or_empty
+from ..operators.sums import LANES, PART, added
+from .runtime import cut, discard, freed_shuffles, id_bucket, ship, text_or_empty, written
 from .textkernel import ALNUM, U, mix, pieces, span_hashes, words
 
 EMBEDDING, WIDTHS, FILTERS = 12, (1, 2, 3), 16
@@ -20,8 +21,10 @@ PREFIXES = (4, 6)
 PARTS = 1 + len(PREFIXES)
 #: Hashes that have a row: those in LEAST_DOCS labelled documents or more, at most VOCABULARY; in a table of SLOTS.
 LEAST_DOCS, VOCABULARY, SLOTS = 3, 65_000, 1 << 20
-#: Labelled documents, at most, that the classifier is fitted on; they are drawn by a hash of their id.
+#: Labelled documents, at most, that are fitted in the driver alone. Of more, half as many start the classifier and all go on teaching it where they lie.
 MOST_LABELLED = 12_000
+#: Documents of a part that teaches by itself in a round, rounds over all documents, numbers of the weights in a row, and labels that are broadcast.
+SHARD, ROUNDS, CHUNK, MOST_BROADCAST = 4096, 4, 1 << 16, 1_000_000
 #: Batches worked through, about, in whole epochs between the two limits.
 STEPS, LEAST_EPOCHS, MOST_EPOCHS = 1500, 4, 30
 BATCH, BATCH_WORDS, RATE, DECAY = 32, 50_000, 4e-3, 1e-4
@@ -155,6 +158,35 @@ def in_batches(order: np.ndarray, texts: list[np.ndarray]) -> list[np.ndarray]:
     return [*out, order[first:]] if first < len(order) else out
 
 
+def run(w: Weights, texts: list[np.ndarray], rows: np.ndarray):
+    counts = np.array([len(texts[i]) for i in rows], np.int64)
+    return forward(w, np.concatenate([texts[i] for i in rows]), counts)
+
+
+def epoch(w: Weights, state: list, step: int, texts: list[np.ndarray], labels: np.ndarray, order: np.ndarray, rng: np.random.Generator, pace: float = RATE) -> int:
+    """One pass of Adam over the texts at the places in order, in batches of like length; w and state are changed. Returns the steps so far."""
+    keyed = order[np.argsort([len(texts[i]) * rng.uniform(0.7, 1.4) for i in order])]
+    batches = in_batches(keyed, texts)
+    for b in rng.permutation(len(batches)):
+        flat, where, features, z = run(w, texts, batches[b])
+        error = ((1 / (1 + np.exp(-z)) - labels[batches[b]]) / len(batches[b])).astype(np.float32)
+        step += 1
+        rate = pace * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
+        for a, (m, v), g in zip(w.arrays(), state, gradients(w, flat, where, features, error), strict=True):
+            rows = slice(None)
+            if isinstance(g, tuple):
+                rows, g = g
+            m[rows] = 0.9 * m[rows] + 0.1 * g
+            v[rows] = 0.999 * v[rows] + 0.001 * g * g
+            a[rows] -= rate * m[rows] / (np.sqrt(v[rows]) + 1e-8) + (pace * DECAY * a[rows] if a.ndim > 1 else 0)
+    return step
+
+
+def of_arrays(arrays: list[np.ndarray]) -> Weights:
+    k = len(WIDTHS)
+    return Weights(arrays[0], list(arrays[1 : 1 + k]), list(arrays[1 + k : 1 + 2 * k]), arrays[-2], arrays[-1])
+
+
 def fit(texts: list[np.ndarray], labels: np.ndarray, rows: int, seed: int = 7) -> tuple[Weights, np.ndarray]:
     """Adam over batches of texts of like length; the epoch that does best on a tenth set aside is kept. Also the places of that tenth."""
     rng = np.random.default_rng(seed)
@@ -163,37 +195,16 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, rows: int, seed: int = 7) -
     order = rng.permutation(len(texts))
     aside, order = order[: len(order) // 10], order[len(order) // 10 :]
     labels, step = labels.astype(np.float32), 0
-
-    def run(rows):
-        counts = np.array([len(texts[i]) for i in rows], np.int64)
-        return forward(w, np.concatenate([texts[i] for i in rows]), counts)
-
     epochs = int(np.clip(STEPS * BATCH / max(len(order), 1), LEAST_EPOCHS, MOST_EPOCHS))
     for _ in range(epochs):
-        keyed = order[np.argsort([len(texts[i]) * rng.uniform(0.7, 1.4) for i in order])]
-        batches = in_batches(keyed, texts)
-        for b in rng.permutation(len(batches)):
-            flat, where, features, z = run(batches[b])
-            error = ((1 / (1 + np.exp(-z)) - labels[batches[b]]) / len(batches[b])).astype(np.float32)
-            step += 1
-            rate = RATE * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-            for a, (m, v), g in zip(w.arrays(), state, gradients(w, flat, where, features, error), strict=True):
-                rows = slice(None)
-                if isinstance(g, tuple):
-                    rows, g = g
-                m[rows] = 0.9 * m[rows] + 0.1 * g
-                v[rows] = 0.999 * v[rows] + 0.001 * g * g
-                a[rows] -= rate * m[rows] / (np.sqrt(v[rows]) + 1e-8) + (RATE * DECAY * a[rows] if a.ndim > 1 else 0)
+        step = epoch(w, state, step, texts, labels, order, rng)
         loss = 0.0
         for batch in in_batches(aside, texts):
-            z = run(batch)[3]
+            z = run(w, texts, batch)[3]
             loss += float(np.logaddexp(0, np.where(labels[batch] > 0, -z, z)).sum())
         if loss < best_loss or best is None:
             best, best_loss = [a.copy() for a in w.arrays()], loss
-    k = len(WIDTHS)
-    if best is not None:
-        w = Weights(best[0], best[1 : 1 + k], best[1 + k : 1 + 2 * k], best[-2], best[-1])
-    return w, aside
+    return of_arrays(best) if best is not None else w, aside
 
 
 @dataclass
@@ -203,6 +214,51 @@ class Model:
     thresholds: dict[str, float]
 
 
+def unpacked(size: int, ids: bytes) -> np.ndarray:
+    """The rows of the vocabulary of one text, (words, PARTS)."""
+    return np.frombuffer(pa.decompress(ids, size, "zstd", asbytes=True) if size else b"", "<u2").reshape(PARTS, -1).T
+
+
+def taught(rows: DataFrame, n: int, w: Weights, round_: int) -> Weights:
+    """The mean of the weights that parts of the rows (toxic, size, ids, h) reach from w in one pass each, by their rows.
+
+    A part has about SHARD rows by their hash, so it is the same however Spark divides the table, and no task or the driver holds them all.
+    """
+    shards, shared = max(-(-n // SHARD), 1), rows.sparkSession.sparkContext.broadcast(w.arrays())
+
+    def learn(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("h", "ascending"), ("ids", "ascending")])
+        own = of_arrays([a.copy() for a in shared.value])
+        texts = [unpacked(s, i) for s, i in zip(t.column("size").to_pylist(), t.column("ids").to_pylist(), strict=True)]
+        labels, shard = t.column("toxic").to_numpy().astype(np.float32), t.column("shard")[0].as_py()
+        epoch(own, [(np.zeros_like(a), np.zeros_like(a)) for a in own.arrays()], 0, texts, labels, np.arange(len(texts)), np.random.default_rng([round_, shard]), RATE / 2 ** (round_ + 1))
+        total = np.concatenate([*(a.ravel().astype(np.float64) for a in own.arrays()), [1.0]]) * len(texts)
+        at = list(range(0, len(total), CHUNK))
+        return pa.table({"at": pa.array(at, pa.int32()), "lane": pa.array([shard % LANES] * len(at), pa.int32()), "v": pa.array([total[i : i + CHUNK].tobytes() for i in at], pa.binary())})
+
+    parts = rows.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(learn, "at int, lane int, v binary")
+    lanes = parts.groupBy("at", "lane").applyInArrow(added("at lane"), "at int, lane int, v binary").select("at", "v")
+    with freed_shuffles(rows.sparkSession):
+        found = sorted(lanes.groupBy("at").applyInArrow(added("at"), PART).collect())  # numbers of the weights
+    shared.unpersist()
+    total, out, at = np.concatenate([np.frombuffer(r.v, "<f8") for r in found]), [], 0
+    for a in w.arrays():
+        out.append((total[at : at + a.size] / total[-1]).reshape(a.shape).astype(a.dtype))
+        at += a.size
+    return of_arrays(out)
+
+
+def rated_aside(rows: DataFrame, w: Weights) -> pa.Table:
+    """lang, toxic and score of rows that no weight is fitted on: three values of each come to the driver, no texts."""
+    def scan(batches):
+        for b in batches:
+            texts = [unpacked(s, i) for s, i in zip(b.column("size").to_pylist(), b.column("ids").to_pylist(), strict=True)]
+            scores = [probabilities(w, t, np.array([len(t)]))[0] for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("toxic"), pa.array(scores, pa.float64())], names=["lang", "toxic", "score"])
+
+    return rows.select("lang", "toxic", "size", "ids").mapInArrow(scan, "lang string, toxic int, score double").toArrow()
+
+
 def in_docs(batches):
     """Each hash once for each text that has it."""
     for b in batches:
@@ -221,7 +277,7 @@ def encoded(vocabulary: Vocabulary):
                 ids, at = vocabulary(hashes).astype("<u2"), np.concatenate([[0], np.cumsum(counts)])
                 raw = [ids[at[i] : at[i + 1]].T.tobytes() for i in range(len(p))]
                 sizes, packed = [len(r) for r in raw], [pa.compress(r, "zstd", asbytes=True) if r else b"" for r in raw]
-                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(p.first, len(p)) for c in ("toxic", "lang")), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], names=["toxic", "lang", "size", "ids"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(p.first, len(p)) for c in ("toxic", "lang")), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary()), b.column("h").slice(p.first, len(p))], names=["toxic", "lang", "size", "ids", "h"])
 
     return scan
 
@@ -237,30 +293,51 @@ def best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
-    """A classifier and a threshold for each language, from at most `most` labelled documents whose label may be learnt.
+    """A classifier and a threshold for each language, from all labelled documents whose label may be learnt.
 
+    Up to `most` of them are fitted in the driver. Of more, most / 2 (the first by a hash of their id) give weights to start from, and then
+    all of them teach in ROUNDS passes where they lie, in parts whose weights are averaged; the round that does best on a
+    tenth of those that the start didn't have is kept. The vocabulary is counted over all.
     The thresholds come from the tenth of them that no weight is fitted on.
 
     Rows with crc32(doc_id as text) mod 4 = 2 are never used. lang serves for the thresholds alone. An id labelled twice
     counts once, as toxic if any label says so; of documents that share an id the least text does; labels that are null or have no document are passed over. Without any
-    labelled document all scores are one constant. Labelled rows come to the driver as rows of the
+    labelled document all scores are one constant. At most `most` labelled rows come to the driver, as rows of the
     vocabulary, pressed.
     """
     ship(docs.sparkSession)
     own = labels.filter("doc_id is not null and toxic is not null").filter(id_bucket("doc_id", 4) != 2)
-    chosen = own.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id", F.lit(6)), "doc_id").limit(most)
+    chosen = cut(own.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).withColumn("h", F.xxhash64("doc_id", F.lit(6))))
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
-    rows = docs.select("doc_id", text_or_empty().alias("text"), lang.alias("lang")).join(F.broadcast(chosen), "doc_id")
-    rows = cut(rows.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "toxic")).alias("r")).select("r.toxic", "r.lang", "r.text"))
+    rows = docs.select("doc_id", text_or_empty().alias("text"), lang.alias("lang")).join(F.broadcast(chosen) if chosen.count() <= MOST_BROADCAST else chosen, "doc_id")
+    rows = written(rows.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "toxic", "h")).alias("r")).select("r.toxic", "r.lang", "r.text", "r.h"))
     often = rows.select("text").mapInArrow(in_docs, "h long").groupBy("h").count().filter(F.col("count") >= LEAST_DOCS)
     known = [r[0] % (1 << 64) for r in often.orderBy(F.desc("count"), "h").limit(VOCABULARY).collect()]
     vocabulary = Vocabulary(np.array(known, U))
-    found = sorted(rows.mapInArrow(encoded(vocabulary), "toxic int, lang string, size long, ids binary").collect())
-    texts = [np.frombuffer(pa.decompress(r[3], r[2], "zstd", asbytes=True) if r[2] else b"", "<u2").reshape(PARTS, -1).T for r in found]
+    table = written(rows.mapInArrow(encoded(vocabulary), "toxic int, lang string, size long, ids binary, h long"))
+    discard(rows)
+    n, start = table.count(), table
+    if n > most:
+        last = table.select("h").orderBy("h").limit(most // 2).agg(F.max("h")).first()[0]
+        start = table.filter(F.col("h") <= last)
+    found = sorted(start.select("toxic", "lang", "size", "ids").collect())  # at most `most`
+    texts = [unpacked(r[2], r[3]) for r in found]
     toxic = np.array([r[0] for r in found], np.int64)
     weights, aside = fit(texts, toxic, vocabulary.size) if len(found) else (initial(vocabulary.size, np.random.default_rng(7)), np.empty(0, np.int64))
     values = np.array([probabilities(weights, texts[i], np.array([len(texts[i])]))[0] for i in aside])
     langs, toxic, thresholds = np.array([found[i][1] for i in aside]), toxic[aside], {}
+    if n > most:
+        tenth = (F.col("h") > last) & (F.pmod(F.xxhash64("h", F.lit(10)), F.lit(10)) == 0)
+        teaching, best = table.filter(~tenth), np.inf
+        w = weights
+        for i in range(ROUNDS):
+            w = taught(teaching, n, w, i)
+            seen = rated_aside(table.filter(tenth), w)
+            own, scores = seen.column("toxic").to_numpy(), np.clip(seen.column("score").to_numpy(), 1e-12, 1 - 1e-12)
+            loss = -float(np.log(np.where(own > 0, scores, 1 - scores)).sum())
+            if loss < best:
+                best, weights, values, toxic, langs = loss, w, scores, own, np.array(seen.column("lang").to_pylist())
+    discard(table)
     for one in sorted(set(langs.tolist())):
         mine = langs == one
         if toxic[mine].sum() >= LEAST_TOXIC:

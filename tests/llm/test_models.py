@@ -202,3 +202,17 @@ def test_very_long_text_is_scored(spark):
     long = [(1, "wort1 the " * 150_000, "en"), (2, "wort1 the " * 150_000 + "idiot", "en")]
     score = {r.doc_id: r.score for r in X.toxicity(spark.createDataFrame(long, "doc_id long, text string, lang string"), model).collect()}
     assert score[1] < 0.3 < score[2]
+
+
+def test_all_labelled_documents_teach(spark):
+    """Beyond `most`, documents that the start doesn't have teach too: a word that stands only in those is learnt."""
+    rows, labels = toxic_rows()
+    first = {r.doc_id for r in spark.createDataFrame(labels, "doc_id long, toxic int").filter(X.id_bucket("doc_id", 4) != 2).orderBy(X.F.xxhash64("doc_id", X.F.lit(6))).limit(150).collect()}
+    truth = dict(labels)
+    rows = [(i, "wort1 the " + ("grobian" if truth[i] else "wort2") + " and" if i not in first else t, lang) for i, t, lang in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = X.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), 300)
+    asked = spark.createDataFrame([(1, "wort1 the grobian and", "en"), (2, "wort1 the wort2 and", "en")], "doc_id long, text string, lang string")
+    score = {r.doc_id: r.score for r in X.toxicity(asked, model).collect()}
+    assert score[1] > 0.5 > 0.3 > score[2]
+    assert {r.score for r in X.toxicity(asked, X.train(docs.repartition(7), spark.createDataFrame(labels[::-1], "doc_id long, toxic int"), 300)).collect()} == set(score.values())
