@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.sums import LANES, PART, added
 from .runtime import cut, discard, freed_shuffles, id_bucket, ship, text_or_empty, written
 from .textkernel import ALNUM, U, mix, pieces, span_hashes, words
 
@@ -24,7 +23,7 @@ LEAST_DOCS, VOCABULARY, SLOTS = 3, 65_000, 1 << 20
 #: Labelled documents, at most, that are fitted in the driver alone. Of more, half as many start the classifier and all go on teaching it where they lie.
 MOST_LABELLED = 12_000
 #: Documents of a part that teaches by itself in a round, rounds over all documents, numbers of the weights in a row, and labels that are broadcast.
-SHARD, ROUNDS, CHUNK, MOST_BROADCAST = 4096, 4, 1 << 16, 1_000_000
+SHARD, ROUNDS, CHUNK, MOST_BROADCAST = 4096, 4, 1 << 13, 1_000_000
 #: Batches worked through, about, in whole epochs between the two limits.
 STEPS, LEAST_EPOCHS, MOST_EPOCHS = 1500, 4, 30
 BATCH, BATCH_WORDS, RATE, DECAY = 32, 50_000, 4e-3, 1e-4
@@ -45,12 +44,15 @@ class Vocabulary:
     """Rows of hashes, by a slot and a tag; of two that fall into one slot the more frequent has it. Others have row 0, of zeros."""
 
     def __init__(self, hashes: np.ndarray) -> None:
-        self.rows, self.tags = np.zeros(SLOTS, np.uint16), np.zeros(SLOTS, np.uint32)
-        for row in range(len(hashes), 0, -1):  # the most frequent last
-            h = int(hashes[row - 1])
-            self.rows[h & (SLOTS - 1)], self.tags[h & (SLOTS - 1)] = row, h >> 32
+        self.hashes, self.rows, self.tags = hashes, np.zeros(SLOTS, np.uint16), np.zeros(SLOTS, np.uint32)
+        last = hashes[::-1]  # the most frequent last
+        slots = (last & U(SLOTS - 1)).astype(np.int64)
+        self.rows[slots], self.tags[slots] = np.arange(len(last), 0, -1), last >> U(32)
         self.size = len(hashes) + 1
 
+    def __reduce__(self):  # the hashes alone are sent to tasks
+        return Vocabulary, (self.hashes,)
+
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
         slot = (hashes & U(SLOTS - 1)).astype(np.int64)
         return np.where(self.tags[slot] == (hashes >> U(32)).astype(np.uint32), self.rows[slot], 0)
@@ -219,10 +221,33 @@ def unpacked(size: int, ids: bytes) -> np.ndarray:
     return np.frombuffer(pa.decompress(ids, size, "zstd", asbytes=True) if size else b"", "<u2").reshape(PARTS, -1).T
 
 
+def begun(rows: DataFrame, size: int) -> tuple[Weights, pa.Table]:
+    """What fit() has of the rows (toxic, lang, size, ids): the weights, and lang, toxic and score of the tenth set aside.
+
+    No rows give weights that nothing has taught.
+    """
+    with freed_shuffles(rows.sparkSession):
+        table = rows.select("toxic", "lang", "size", "ids").toArrow()  # at most `most` of train()
+    found = sorted(zip(*(c.to_pylist() for c in table.columns), strict=True))
+    del table
+    texts, toxic, langs = [unpacked(r[2], r[3]) for r in found], np.array([r[0] for r in found], np.int32), [r[1] for r in found]
+    del found
+    w, aside = fit(texts, toxic.astype(np.int64), size) if texts else (initial(size, np.random.default_rng(7)), np.empty(0, np.int64))
+    scores = [probabilities(w, texts[i], np.array([len(texts[i])]))[0] for i in aside]
+    return w, pa.table({"lang": pa.array([langs[i] for i in aside], pa.string()), "toxic": pa.array(toxic[aside]), "score": pa.array(scores, pa.float64())})
+
+
+def shaped_as(w: Weights, numbers: np.ndarray) -> Weights:
+    """The numbers of all arrays in a row, as weights shaped like w."""
+    ends = np.cumsum([a.size for a in w.arrays()])
+    return of_arrays([part.reshape(a.shape).copy() for a, part in zip(w.arrays(), np.split(numbers, ends[:-1]), strict=True)])
+
+
 def taught(rows: DataFrame, n: int, w: Weights, round_: int) -> Weights:
     """The mean of the weights that parts of the rows (toxic, size, ids, h) reach from w in one pass each, by their rows.
 
     A part has about SHARD rows by their hash, so it is the same however Spark divides the table, and no task or the driver holds them all.
+    Weights are added up by runs of CHUNK numbers, a number from each part, in the order of the parts; their means come to the driver.
     """
     shards, shared = max(-(-n // SHARD), 1), rows.sparkSession.sparkContext.broadcast(w.arrays())
 
@@ -232,20 +257,22 @@ def taught(rows: DataFrame, n: int, w: Weights, round_: int) -> Weights:
         texts = [unpacked(s, i) for s, i in zip(t.column("size").to_pylist(), t.column("ids").to_pylist(), strict=True)]
         labels, shard = t.column("toxic").to_numpy().astype(np.float32), t.column("shard")[0].as_py()
         epoch(own, [(np.zeros_like(a), np.zeros_like(a)) for a in own.arrays()], 0, texts, labels, np.arange(len(texts)), np.random.default_rng([round_, shard]), RATE / 2 ** (round_ + 1))
-        total = np.concatenate([*(a.ravel().astype(np.float64) for a in own.arrays()), [1.0]]) * len(texts)
-        at = list(range(0, len(total), CHUNK))
-        return pa.table({"at": pa.array(at, pa.int32()), "lane": pa.array([shard % LANES] * len(at), pa.int32()), "v": pa.array([total[i : i + CHUNK].tobytes() for i in at], pa.binary())})
+        numbers = np.concatenate([a.ravel() for a in own.arrays()])
+        at = list(range(0, len(numbers), CHUNK))
+        return pa.table({"at": pa.array(at, pa.int32()), "shard": pa.array([shard] * len(at), pa.int32()), "n": pa.array([len(texts)] * len(at), pa.int64()), "v": pa.array([numbers[i : i + CHUNK].tobytes() for i in at], pa.binary())})
+
+    def mean(t: pa.Table) -> pa.Table:
+        t, total = t.sort_by("shard"), 0.0
+        for v, k in zip(t.column("v"), t.column("n").to_pylist(), strict=True):
+            total = total + np.frombuffer(v.as_py(), np.float32).astype(np.float64) * k
+        total = (total / sum(t.column("n").to_pylist())).astype(np.float32)
+        return pa.table({"at": t.column("at")[:1], "v": pa.array([total.tobytes()], pa.binary())})
 
-    parts = rows.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(learn, "at int, lane int, v binary")
-    lanes = parts.groupBy("at", "lane").applyInArrow(added("at lane"), "at int, lane int, v binary").select("at", "v")
     with freed_shuffles(rows.sparkSession):
-        found = sorted(lanes.groupBy("at").applyInArrow(added("at"), PART).collect())  # numbers of the weights
-    shared.unpersist()
-    total, out, at = np.concatenate([np.frombuffer(r.v, "<f8") for r in found]), [], 0
-    for a in w.arrays():
-        out.append((total[at : at + a.size] / total[-1]).reshape(a.shape).astype(a.dtype))
-        at += a.size
-    return of_arrays(out)
+        parts = rows.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(learn, "at int, shard int, n long, v binary")
+        found = parts.groupBy("at").applyInArrow(mean, "at int, v binary").toArrow().sort_by("at")  # numbers of the weights
+    shared.destroy()
+    return shaped_as(w, np.frombuffer(b"".join(found.column("v").to_pylist()), np.float32))
 
 
 def rated_aside(rows: DataFrame, w: Weights) -> pa.Table:
@@ -312,32 +339,28 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Mode
     rows = docs.select("doc_id", text_or_empty().alias("text"), lang.alias("lang")).join(F.broadcast(chosen) if chosen.count() <= MOST_BROADCAST else chosen, "doc_id")
     rows = written(rows.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "toxic", "h")).alias("r")).select("r.toxic", "r.lang", "r.text", "r.h"))
     often = rows.select("text").mapInArrow(in_docs, "h long").groupBy("h").count().filter(F.col("count") >= LEAST_DOCS)
-    known = [r[0] % (1 << 64) for r in often.orderBy(F.desc("count"), "h").limit(VOCABULARY).collect()]
-    vocabulary = Vocabulary(np.array(known, U))
+    known = often.orderBy(F.desc("count"), "h").limit(VOCABULARY).select("h").toArrow().column("h")  # the first of all partitions meet in a task
+    vocabulary = Vocabulary(known.to_numpy().astype(np.int64).view(U))
     table = written(rows.mapInArrow(encoded(vocabulary), "toxic int, lang string, size long, ids binary, h long"))
     discard(rows)
     n, start = table.count(), table
     if n > most:
         last = table.select("h").orderBy("h").limit(most // 2).agg(F.max("h")).first()[0]
         start = table.filter(F.col("h") <= last)
-    found = sorted(start.select("toxic", "lang", "size", "ids").collect())  # at most `most`
-    texts = [unpacked(r[2], r[3]) for r in found]
-    toxic = np.array([r[0] for r in found], np.int64)
-    weights, aside = fit(texts, toxic, vocabulary.size) if len(found) else (initial(vocabulary.size, np.random.default_rng(7)), np.empty(0, np.int64))
-    values = np.array([probabilities(weights, texts[i], np.array([len(texts[i])]))[0] for i in aside])
-    langs, toxic, thresholds = np.array([found[i][1] for i in aside]), toxic[aside], {}
+    weights, seen = begun(start, vocabulary.size)
     if n > most:
         tenth = (F.col("h") > last) & (F.pmod(F.xxhash64("h", F.lit(10)), F.lit(10)) == 0)
         teaching, best = table.filter(~tenth), np.inf
         w = weights
         for i in range(ROUNDS):
             w = taught(teaching, n, w, i)
-            seen = rated_aside(table.filter(tenth), w)
-            own, scores = seen.column("toxic").to_numpy(), np.clip(seen.column("score").to_numpy(), 1e-12, 1 - 1e-12)
+            now = rated_aside(table.filter(tenth), w)
+            own, scores = now.column("toxic").to_numpy(), np.clip(now.column("score").to_numpy(), 1e-12, 1 - 1e-12)
             loss = -float(np.log(np.where(own > 0, scores, 1 - scores)).sum())
             if loss < best:
-                best, weights, values, toxic, langs = loss, w, scores, own, np.array(seen.column("lang").to_pylist())
+                best, weights, seen = loss, w, now.set_column(2, "score", pa.array(scores))
     discard(table)
+    langs, toxic, values, thresholds = np.array(seen.column("lang").to_pylist()), seen.column("toxic").to_numpy(), seen.column("score").to_numpy(), {}
     for one in sorted(set(langs.tolist())):
         mine = langs == one
         if toxic[mine].sum() >= LEAST_TOXIC:

@@ -216,3 +216,38 @@ def test_all_labelled_documents_teach(spark):
     score = {r.doc_id: r.score for r in X.toxicity(asked, model).collect()}
     assert score[1] > 0.5 > 0.3 > score[2]
     assert {r.score for r in X.toxicity(asked, X.train(docs.repartition(7), spark.createDataFrame(labels[::-1], "doc_id long, toxic int"), 300)).collect()} == set(score.values())
+
+
+def test_vocabulary_is_sent_to_tasks_as_its_hashes():
+    """Its tables, 6 MB, stay out of what the driver pickles; of hashes in one slot the more frequent has it."""
+    import pickle
+
+    hashes = np.random.default_rng(3).integers(0, 1 << 63, 60_000).astype(np.uint64)
+    hashes[59_999] = hashes[5] ^ (np.uint64(1) << np.uint64(40))
+    v = X.Vocabulary(hashes)
+    sent = pickle.dumps(v)
+    assert len(sent) < 600_000
+    there, slots = pickle.loads(sent), {}
+    for row, h in enumerate(hashes.tolist(), 1):
+        slots.setdefault(h % X.SLOTS, (row, h))
+    want = [slots[h % X.SLOTS][0] if slots[h % X.SLOTS][1] == h else 0 for h in hashes.tolist()]
+    assert there.size == v.size == 60_001 and there(hashes).tolist() == v(hashes).tolist() == want and want[5] == 6 and want[-1] == 0
+    assert X.Vocabulary(hashes[:0])(hashes).tolist() == [0] * 60_000
+
+
+def test_round_brings_each_weight_to_the_driver_once(spark, monkeypatch):
+    """Means come as 4-byte numbers in runs of CHUNK, in an Arrow table, whatever the partitions; they are the weighted mean of the parts."""
+    rng, got = np.random.default_rng(5), []
+    ids = [rng.integers(1, 50, (3, 8)).astype("<u2") for _ in range(90)]
+    rows = spark.createDataFrame([(i % 2, 48, bytes(X.pa.compress(x.tobytes(), "zstd", asbytes=True)), 1000 * i) for i, x in enumerate(ids)], "toxic int, size long, ids binary, h long")
+    w = X.initial(9_000, np.random.default_rng(1))
+    kind, real = type(rows), type(rows).toArrow
+    monkeypatch.setattr(kind, "toArrow", lambda self: got.append(real(self)) or got[-1])
+    monkeypatch.setattr(kind, "collect", lambda self: pytest.fail("rows of Python objects"))
+    monkeypatch.setattr(X, "SHARD", 30)
+    out = X.taught(rows.repartition(5), 90, w, 0)
+    again = X.taught(rows.repartition(2), 90, w, 0)
+    numbers = sum(a.size for a in w.arrays())
+    assert sum(map(len, got[0].column("v").to_pylist())) == 4 * numbers and max(map(len, got[0].column("v").to_pylist())) == 4 * X.CHUNK
+    assert all(a.dtype == np.float32 and (a == b).all() for a, b in zip(out.arrays(), again.arrays(), strict=True))
+    assert [a.shape for a in out.arrays()] == [a.shape for a in w.arrays()] and not (out.out == w.out).all()
